@@ -31,6 +31,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is now stored
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .language_id import op4_language_id
+from .lm_scoring import op3_lm_scoring
 from .packing import op1_best_fit_packing
 from .quality_rules import op2_quality_rules, op2_sql
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_language_id)}
 
 
 def oracles() -> dict[str, str]:
