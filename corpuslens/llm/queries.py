@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .embedding_dedup import op5_embedding_dedup
 from .language_id import op4_language_id
+from .line_dedup import op10_line_dedup, op10_sql
 from .lm_scoring import op3_lm_scoring
 from .minhash_dedup import op6_minhash_dedup
 from .packing import op1_best_fit_packing
 from .quality_rules import op2_quality_rules, op2_sql
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_language_id, op5_embedding_dedup, op6_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_language_id, op5_embedding_dedup, op6_minhash_dedup, op10_line_dedup)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_quality_rules": op2_sql()}
+    return {"op2_quality_rules": op2_sql(), "op10_line_dedup": op10_sql()}
