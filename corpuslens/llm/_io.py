@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,12 +33,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is now stored
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects its garbage."""
+    for _ in range(2):
+        time.sleep(0.3)  # what has just ended is still referred to
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by stored() that nothing reads any more."""
     spark = df.sparkSession

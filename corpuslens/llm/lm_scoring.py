@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import remainder, stored, table
+from ._io import release, remainder, stored, table
 
 #: Characters of text in a block, and in the part of all n-grams that one owner counts.
-BLOCK = 16_000_000
+BLOCK = 5_000_000
 RETAINED, DELETED, HELD_OUT = 0, 1, 2
 BUCKETS = 24
 #: Steps of the quantised probabilities for each factor of two, and their number.
@@ -159,6 +159,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = max(0, (sum(size.values()) - 1).bit_length())
     sent = docs.groupBy("block").applyInArrow(_sent(bits), "range int, block int, role int, keys binary, counts binary")
     counts = stored(sent.groupBy("range").applyInArrow(_counted, "range int, block int, total binary, retained binary, types long, tokens long, retained_tokens long"), "ngrams")
+    release(spark)
     sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "retained_tokens"))).first()
     uniform, tokens, kept = 1 / (sums.types + 1), max(1, sums.tokens), max(1, sums.retained_tokens)
 
@@ -178,6 +179,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = counts.select("range", "block", "total", "retained")
     of_deleted = given.where(F.col("block") % 3 == DELETED).drop("total").groupBy("block")
     histogram = docs.where(F.col("role") == DELETED).groupBy("block").cogroup(of_deleted).applyInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    release(spark)
     weights = np.tile([0.1, 0.3, 0.6], (BUCKETS, 1))
     if len(histogram):
         c = histogram.cell.to_numpy()
