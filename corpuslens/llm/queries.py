@@ -8,11 +8,12 @@ from .line_dedup import op10_line_dedup, op10_sql
 from .lm_scoring import op3_lm_scoring
 from .minhash_dedup import op6_minhash_dedup
 from .packing import op1_best_fit_packing
+from .pii import op8_pii
 from .quality_classifier import op7_quality_classifier
 from .quality_rules import op2_quality_rules, op2_sql
 from .sentencepiece_stream import op9_sentencepiece
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_language_id, op5_embedding_dedup, op6_minhash_dedup, op7_quality_classifier, op9_sentencepiece, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_lm_scoring, op4_language_id, op5_embedding_dedup, op6_minhash_dedup, op7_quality_classifier, op8_pii, op9_sentencepiece, op10_line_dedup)}
 
 
 def oracles() -> dict[str, str]:
