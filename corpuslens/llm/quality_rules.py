@@ -102,7 +102,9 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     new = {text_col: F.col("cleaned")}
     if "n_chars" in docs.columns and text_col != "n_chars":
         new["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
-    return judge(docs, text_col).where("kept").select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
+    row = F.struct(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
+    # not a filter: pushed below the projections, it would repeat all of judge() within one predicate
+    return judge(docs, text_col).select(F.inline(F.when(F.col("kept"), F.array(row))))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
