@@ -14,12 +14,16 @@ packed separately; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,76 +31,126 @@ from pyspark.sql import functions as F
 from ._io import stored, table
 
 CAPACITY = 2048
-#: Most words whose ids a worker keeps.
-CACHE = 400_000
-#: Characters tokenized at once.
-CHUNK = 4_000_000
+#: Words whose ids a worker keeps, in each of two generations.
+CACHE = 300_000
+#: Bytes of text tokenized at once.
+CHUNK = 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
 # ---------------------------------------------------------------- tokens
 
-_WORDS: dict = {}
+_STATE: dict = {}
+#: Words of Latin letters, perhaps with marks after them: the tokenizer's rules make each part a word of its own.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{-~]{0,4})")
 
 
-def _tokenizer(path: str):
-    import os
+class Words:
+    """The ids of words, as little-endian unsigned 32-bit numbers, with a bounded memory of words seen.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    if _WORDS.get("path") != path:
-        _WORDS.clear()
-        _WORDS.update(path=path, tokenizer=Tokenizer.from_file(path), ids={})
-    return _WORDS["tokenizer"], _WORDS["ids"]
-
-
-def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers.
-
-    The tokenizer drops white space and never joins what white space parts, so ids are found once per distinct word.
+    The tokenizer drops white space and joins nothing across it, so ids are found once per distinct word. Plain words go
+    straight to its merge model, in lower case and with bytes written as the byte-level alphabet writes them; all others
+    go through the whole tokenizer.
     """
-    tokenizer, known = _tokenizer(path)
-    for lo in range(0, len(texts), 256):
-        split = [t.split() for t in texts[lo : lo + 256]]
-        new = list(set().union(*split) - known.keys())
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            coded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(some, coded, strict=True))
-        for row in split:
-            yield b"".join([known[w] for w in row])
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.cores: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return np.asarray(ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        rest, plain, model, cores, marks = [], _PLAIN.fullmatch, self.model.tokenize, self.cores, self.marks
+        for kept in (cores, marks):
+            if len(kept) > CACHE:
+                kept.clear()
+        for word in words:
+            if not (got := plain(word)):
+                rest.append(word)
+                continue
+            letters, mark = got.groups()
+            text = letters.lower()
+            if text not in cores:
+                cores[text] = array("I", [t.id for t in model(text if text.isascii() else text.translate(self.letters))]).tobytes()
+            if mark not in marks:
+                marks[mark] = self._ids(self.whole.encode(mark, add_special_tokens=False).ids)
+            self.new[word] = cores[text] + marks[mark]
+        for word, coded in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.new[word] = self._ids(coded.ids)
+
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (and the last end)."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        distinct, unseen = words.dictionary.to_pylist(), []
+        for w in distinct:
+            if w not in self.new:
+                if w in self.old:
+                    self.new[w] = self.old[w]
+                else:
+                    unseen.append(w)
+        self.learn(unseen)
+        found = [self.new[w] for w in distinct]
+        flat, size = np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found] or [0], np.int64)
+        first = np.cumsum(size) - size
+        code = words.indices.to_numpy()
+        many = size[code] if len(code) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat(first[code] - ends[:-1], many) + np.arange(ends[-1])] if len(code) else flat
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+def _words(path: str) -> Words:
+    if path not in _STATE:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _STATE[path] = Words(path)
+    return _STATE[path]
+
+
+def _chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of about `most` bytes of text."""
+    end = np.cumsum(np.nan_to_num(np.array(pc.binary_length(batch.column(column)).to_pylist(), float)))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """A row for each piece; rank numbers the pieces of one length within one partition."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = np.asarray([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            lo = 0
-            while lo < len(ids):
-                hi, size = lo, 0
-                while hi < len(ids) and (hi == lo or size < CHUNK):
-                    size += len(texts[hi].as_buffer() or b"") if texts[hi].is_valid else 0
-                    hi += 1
+        for whole in batches:
+            for batch in _chunks(whole, 1):
+                ids, starts = _words(vocabulary).coded(pc.fill_null(batch.column(1), ""))
                 out: list[tuple] = []
-                for key, coded in zip(ids[lo:hi], token_bytes([t or b"" for t in texts[lo:hi].to_pylist()], vocabulary), strict=True):
-                    coded += end
-                    for piece, at in enumerate(range(0, len(coded), 4 * capacity)):
-                        some = coded[at : at + 4 * capacity]
-                        n = len(some) // 4
-                        out.append((key, piece, at // 4, n, zlib.crc32(some), part, seen[n]))
-                        seen[n] += 1
-                lo = hi
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+                for nth, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                    document = np.concatenate([ids[a:b], end])
+                    for piece, at in enumerate(range(0, len(document), capacity)):
+                        some = document[at : at + capacity]
+                        out.append((nth, piece, at, len(some), zlib.crc32(some), part, seen[len(some)]))
+                        seen[len(some)] += 1
+                nth, *columns = zip(*out, strict=True)
+                kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(nth)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
