@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             made = [s.tobytes() for s in shingle_sets(_texts(batch.column("text")), width)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "component", "blocks", "block")), pa.array(made, pa.binary())], names=["doc_id", "component", "blocks", "block", "set"])
 
-    whole = docs.join(dealt, "doc_id").select("doc_id", "component", "blocks", "block", "text").mapInArrow(full, "doc_id long, component long, blocks int, block int, set binary")
+    whole = docs.join(dealt.hint("merge"), "doc_id").select("doc_id", "component", "blocks", "block", "text").mapInArrow(full, "doc_id long, component long, blocks int, block int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = whole.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     links = stored(tasks.groupBy("component", "i", "j").applyInArrow(_pairs(threshold, k), "a long, b long"), "links")
