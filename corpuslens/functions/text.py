@@ -32,7 +32,7 @@ def n_words(text: Column) -> Column:
 
 def sentences(text: Column, longer_than: int) -> Column:
     """T3."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _SPLIT), F.trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _SPLIT), lambda x: F.trim(x)), lambda s: F.length(s) > longer_than)
 
 
 def count_patterns(text: Column, patterns: Sequence[str]) -> Column:
@@ -105,7 +105,7 @@ def _lengths(parts: Column) -> Column:
 
 def uniformity(text: Column) -> dict[str, Column]:
     """T5."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), F.trim), lambda p: F.length(p) > 20)
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda x: F.trim(x)), lambda p: F.length(p) > 20)
     first = F.slice(F.transform(words(text), F.lower), 1, 1000)
     enough = F.length(F.coalesce(text, F.lit(""))) >= 100
     zero = lambda c: F.when(enough, c).otherwise(0.0)

@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def author_list(author_ids: Column, first_author: Column) -> Column:
     """The `;` list without blanks, else the first author alone."""
-    listed = F.filter(F.transform(F.split(F.coalesce(author_ids, F.lit("")), ";"), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(F.coalesce(author_ids, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     alone = F.when(F.coalesce(first_author, F.lit("")) != "", F.array(first_author)).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(listed) > 0, listed).otherwise(alone)
 

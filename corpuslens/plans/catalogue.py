@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import table_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES}
