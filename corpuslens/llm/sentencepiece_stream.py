@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ from ._io import table
 
 SPACE = "▁"
 #: Words remembered, and pairs of pieces judged, by a worker.
-CACHE = 400_000
+CACHE = 800_000
 #: Characters between attempts to commit.
 STRIDE = 32
+#: No piece, before a piece; and what parts two ids in one key.
+NONE, SHIFT = -1, 1 << 24
 
 _STATE: dict = {}
 
@@ -52,7 +55,17 @@ class Model:
         #: No piece holds a space after another character: a search may start anew at each word.
         self.by_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.by_lines = not any("\n" in p for p in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Pieces by their characters, one after another; "" holds the id of a piece that ends.
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
+        self.piece = {i: p for p, i in self.ids.items()}
+        #: Two characters that stand side by side in some piece; between any others all paths meet.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.pairs: dict[int, bool] = {}
         self.words: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def merged(self, text: str) -> list[str]:
@@ -65,57 +78,76 @@ class Model:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def follows(self, before: str, piece: str) -> bool:
-        """Whether an encoding may have the two pieces side by side; before may be empty."""
-        key = before, piece
-        if key not in self.pairs:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            self.pairs[key] = (before != "" and before not in self.ids) or self.merged(before + piece) == ([before, piece] if before else [piece])
-        return self.pairs[key]
-
-    def stream(self, chars: Iterable[str]) -> Iterator[str]:
-        """Pieces, as they become certain. Characters without a piece come as they are."""
-        window: list[str] = []  # characters since the last committed boundary
-        last: list[str] = [""]  # of each position: the piece that ends there
-        back: list[int] = [0]  # and where it starts
-        for char in chars:
-            window.append(char)
-            at = len(window)
-            for size in range(min(self.longest, at), 0, -1):
-                piece = "".join(window[at - size :])
-                if piece in self.ids and self.follows(last[at - size], piece):
+    def follows(self, before: int, piece: int) -> bool:
+        """Whether an encoding may have the two pieces side by side; before may be NONE (the start, or a byte)."""
+        second = self.piece[piece]
+        if before == NONE:
+            return self.merged(second) == [second]
+        return self.merged(self.piece[before] + second) == [self.piece[before], second]
+
+    def _extend(self, window: str, last: list[int], back: list[int], to: int) -> None:
+        """Backpointers of the window's positions up to `to`: pieces that end there, longest first, after what ends at their start."""
+        done, pairs, root = len(last) - 1, self.pairs, self.trie
+        ending: list[list[tuple[int, int]]] = [[] for _ in range(done, to + 1)]
+        for start in range(max(0, done + 1 - self.longest), to):
+            node = root
+            for at in range(start, to):
+                if (node := node.get(window[at])) is None:
+                    break
+                if at >= done and "" in node:
+                    ending[at + 1 - done].append((start, node[""]))
+        for found in ending[1:]:
+            for start, piece in found:
+                key = last[start] * SHIFT + piece
+                if (fits := pairs.get(key)) is None:
+                    if len(pairs) > CACHE:
+                        pairs.clear()
+                    fits = pairs[key] = self.follows(last[start], piece)
+                if fits:
+                    last.append(piece)
+                    back.append(start)
                     break
             else:
-                size, piece = 1, char
-            last.append(piece)
-            back.append(at - size)
-            if at % STRIDE == 0:
+                back.append(len(last) - 1)
+                last.append(NONE)
+
+    def stream(self, chunks: Iterable[str]) -> Iterator[int]:
+        """Ids, as they become certain."""
+        window = ""  # text since the last committed boundary
+        last: list[int] = [NONE]  # of each position: the piece that ends there
+        back: list[int] = [0]  # and where it starts
+        for chunk in chunks:
+            window += chunk
+            while len(last) <= len(window):
+                self._extend(window, last, back, min(len(window), len(last) - 1 + STRIDE))
+                at = len(last) - 1
                 alive = set(range(max(0, at - self.longest + 1), at + 1))
                 while len(alive) > 1:
                     alive.remove(top := max(alive))
                     alive.add(back[top])
                 if meet := alive.pop():
-                    yield from self._path(last, back, meet)
+                    yield from self._path(window, last, back, meet)
                     window, last, back = window[meet:], last[meet:], [max(0, b - meet) for b in back[meet:]]
-        yield from self._path(last, back, len(window))
+        yield from self._path(window, last, back, len(window))
 
-    @staticmethod
-    def _path(last: list[str], back: list[int], at: int) -> list[str]:
+    def _path(self, window: str, last: list[int], back: list[int], at: int) -> list[int]:
+        """The ids of the path to a position; a character without a piece gives its bytes' ids."""
         out = []
         while at:
-            out.append(last[at])
+            if last[at] == NONE:
+                out += [self.byte.get(b, self.unknown) for b in reversed(window[at - 1].encode())]
+            else:
+                out.append(last[at])
             at = back[at]
-        return out[::-1]
+        out.reverse()
+        return out
 
     def _ids(self, text: str) -> bytes:
-        out = array("i")
-        for piece in self.stream(text):
-            if (i := self.ids.get(piece)) is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte.get(b, self.unknown) for b in piece.encode())
-        return out.tobytes()
+        if len(text) > STRIDE:
+            return array("i", self.stream((text,))).tobytes()
+        last, back = [NONE], [0]
+        self._extend(text, last, back, len(text))
+        return array("i", self._path(text, last, back, len(text))).tobytes()
 
     def _remembered(self, words: list[str], spaced: int) -> list[bytes]:
         known, out = self.words[spaced], []
@@ -123,7 +155,11 @@ class Model:
             if (ids := known.get(w)) is None:
                 if len(known) > CACHE:
                     known.clear()
-                ids = known[w] = self._ids(SPACE + w if spaced else w)
+                if len(w) > 1 and not w[-1].isalnum() and w[-2:] not in self.inside:  # all paths meet before the mark
+                    ids = self._remembered([w[:-1]], spaced)[0] + self._remembered([w[-1]], 0)[0]
+                else:
+                    ids = self._ids(SPACE + w if spaced else w)
+                known[w] = ids
             out.append(ids)
         return out
 
@@ -173,13 +209,14 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        raw = set(m.byte.values())
+        raw = np.zeros(len(m.text), bool)
+        raw[list(m.byte.values())] = True
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 ids = [m.encode(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([sum(map(raw.__contains__, array("i", x))) for x in ids], pa.int64()), pa.array([m.decode(x) == t for x, t in zip(ids, texts, strict=True)])], names=["doc_id", "n_ids", "ids_crc32", "n_byte_ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([int(raw[np.frombuffer(x, np.int32)].sum()) for x in ids], pa.int64()), pa.array([m.decode(x) == t for x, t in zip(ids, texts, strict=True)])], names=["doc_id", "n_ids", "ids_crc32", "n_byte_ids", "round_trip"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_byte_ids long, round_trip boolean")
 
