@@ -48,7 +48,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a block: unique sorted keys, and for each token the places of its word, context and bigram."""
+    """The n-grams of a block: a word's key for each place, start marks included, and a bigram's for each token."""
 
     def __init__(self, texts: list[bytes]):
         split = [t.lower().split() for t in texts]
@@ -65,7 +65,7 @@ class Grams:
         token[starts[:-1]] = False
         at = np.flatnonzero(token)
         two = _mix(one[at - 1], one[at])
-        self.keys, self._all, self.counts = None, (one, two, at), None
+        self._all = one, two, at
 
     def unique(self) -> tuple[np.ndarray, np.ndarray]:
         one, two, _ = self._all
