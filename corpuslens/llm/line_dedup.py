@@ -3,7 +3,7 @@
 Lines of at least MIN_CHARS characters (without the white space around them) are equal within EDITS edits if they agree in
 one of EDITS + 1 segments (pigeonhole). Every distinct line is indexed by its segments, with its length and the segment's
 number, and probes the indexes of lines up to EDITS characters shorter with the substrings at the only offsets that can
-match. Candidate pairs are verified by edit distance in a band of 2 * EDITS + 1 bits that moves down the diagonal. Linked
+match. Candidates whose counts of letters differ too much go (a necessary condition); the other pairs are verified by edit distance in a band of 2 * EDITS + 1 bits that moves down the diagonal. Linked
 lines form classes; of each class the first line in order of (doc_id, line number) stays and all others go.
 
 Defined results: null and blank texts have no lines to remove; documents with null id stay as they are and are no one's
@@ -21,6 +21,8 @@ from ._io import SPACES, discard, release, stored, table
 
 EDITS = 2
 MIN_CHARS = 24
+#: Letters whose numbers are compared before two lines are.
+LETTERS = "eainotrshlducmgw"
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -51,7 +53,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
             after = edits - i
             for shift in range(max(-i, less - after), min(i, less + after) + 1):
                 keys.append(_key(short, i, F.substring(line, start + shift, size)))
-    return F.array_distinct(F.array(*keys))
+    return F.array(*keys)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -63,8 +65,17 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
     width = 2 * edits + 1
     full = (1 << width) - 1
-    rows, columns = F.split(longer, ""), F.split(shorter, "")
-    pair = F.struct(rows.alias("rows"), columns.alias("columns"))
+    whole = F.struct(F.split(longer, "").alias("rows"), F.split(shorter, "").alias("columns"))
+
+    def core(x: Column) -> Column:
+        """Without the common start and end, which no edit needs."""
+        n = F.size(x["columns"])
+        same = lambda p, q: F.zip_with(F.slice(p, 1, n), q, lambda c, d: c == d)
+        start = F.coalesce(F.nullif(F.array_position(same(x["rows"], x["columns"]), False), F.lit(0)) - 1, n).cast("int")
+        end = F.coalesce(F.nullif(F.array_position(same(F.reverse(x["rows"]), F.reverse(x["columns"])), False), F.lit(0)) - 1, n).cast("int")
+        end = F.least(end, n - start)
+        return F.struct(F.slice(x["rows"], start + 1, F.size(x["rows"]) - start - end).alias("rows"), F.slice(x["columns"], start + 1, n - start - end).alias("columns"))
+
 
     def distance(x: Column) -> Column:
         m = F.size(x["rows"])
@@ -89,13 +100,15 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
                     score.alias("score"),
                 )
 
-            return F.element_at(F.transform(F.array(on), rest), 1)
+            # neighbouring rows differ by at most one, so all of the band are over the limit here
+            return F.when(state["score"] > 3 * edits, state).otherwise(F.element_at(F.transform(F.array(on), rest), 1))
 
         start = F.struct(F.lit(full - ((1 << edits) - 1)).alias("up"), F.lit(0).alias("down"), F.lit(0).alias("low"), F.lit(edits).alias("score"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["columns"]) - 1), start, step, lambda s: s["score"])
+        many = F.size(x["columns"])
+        return F.when(many == 0, m).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), start, step, lambda s: s["score"]))
 
     near = F.length(longer) - F.length(shorter) <= edits
-    return near & (F.element_at(F.transform(F.array(pair), distance), 1) <= edits)
+    return near & (F.element_at(F.transform(F.transform(F.array(whole), core), distance), 1) <= edits)
 
 
 def _bit(value: Column, below: Column, width: int) -> Column:
@@ -106,6 +119,25 @@ def _bit(value: Column, below: Column, width: int) -> Column:
     return out
 
 
+def letter_counts(line: Column) -> Column:
+    """The numbers of LETTERS, each modulo 16, in one whole number."""
+    count = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long")
+    packed = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        packed = packed.bitwiseOR(F.shiftleft(count(c), 4 * k))
+    return packed
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """Sum of the differences of two letter_counts(), at most their true sum. An edit changes two counts by one at most."""
+    total = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        field = lambda x: F.shiftright(x, 4 * k).bitwiseAND(F.lit(15).cast("long"))  # noqa: B023, E731
+        gap = (field(a) - field(b)).bitwiseAND(F.lit(15).cast("long"))
+        total = total + F.least(gap, 16 - gap)
+    return total
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """doc_id, line_no, line, length, h1, h2 for the lines that count; two 64-bit hashes name a line."""
     lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "raw"))
@@ -123,18 +155,25 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = stored(lines.select("h1", "h2", "line").distinct(), "texts")
     release(spark)
     line, length = F.col("line"), F.length("line")
-    indexed = texts.select(F.col("h1").alias("short"), F.explode(index_keys(line, length, edits)).alias("key"))
-    probes = texts.select(F.col("h1").alias("long"), F.explode(probe_keys(line, length, edits)).alias("key"))
-    maybe = probes.join(indexed, "key").where("long <> short").select(F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b")).distinct()
-    maybe = stored(maybe, "pairs")
+    indexed = texts.select(F.col("h1").alias("short"), F.explode(index_keys(line, length, edits)).alias("index_key"))
+    probes = texts.select(F.col("h1").alias("long"), F.explode(probe_keys(line, length, edits)).alias("probe_key"))
+    # first the keys where a line meets another, each row once, then pairs among those few
+    meet = (F.col("index_key") == F.col("probe_key")) & (F.col("long") != F.col("short"))
+    probed = stored(probes.join(indexed, meet, "left_semi"), "probed")
     release(spark)
-    wanted = maybe.select(F.col("a").alias("h1")).union(maybe.select(F.col("b").alias("h1"))).distinct()
-    some = stored(texts.join(wanted, "h1", "left_semi").withColumn("node", F.monotonically_increasing_id()), "texts")
+    found = stored(indexed.join(probed.hint("merge"), meet, "left_semi"), "found")
+    active = probed.select(F.col("long").alias("h1")).union(found.select(F.col("short").alias("h1"))).distinct()
+    some = texts.join(active.hint("merge"), "h1", "left_semi").withColumns({"node": F.monotonically_increasing_id(), "letters": letter_counts(line)})
+    some = stored(some, "some")
     discard(texts)
     release(spark)
-    side = lambda name: some.select(F.col("h1").alias(name), F.col("node").alias(f"{name}_node"), F.col("line").alias(f"{name}_line"))
+    named = lambda role: some.select(F.col("h1").alias(role), F.col("node").alias(f"{role}_node"), F.col("letters").alias(f"{role}_letters"))
+    maybe = probed.join(named("long"), "long").join(found.join(named("short"), "short"), F.col("index_key") == F.col("probe_key"))
+    maybe = maybe.where((F.col("long_node") != F.col("short_node")) & (counts_apart(F.col("long_letters"), F.col("short_letters")) <= 2 * edits))
+    maybe = stored(maybe.select(F.least("long_node", "short_node").alias("a"), F.greatest("long_node", "short_node").alias("b")).distinct(), "pairs")
+    side = lambda name: some.select(F.col("node").alias(name), F.col("line").alias(f"{name}_line"))
     pairs = maybe.join(side("a"), "a").join(side("b"), "b").where(within_edits(F.col("a_line"), F.col("b_line"), edits))
-    found = components(stored(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "links"))
+    found = components(stored(pairs.select("a", "b"), "links"))
     named = some.select("h1", "h2", "node").join(found, "node").select("h1", "h2", "component")
     placed = once.join(named, ["h1", "h2"], "left").where("many > 1 or component is not null")
     heads = placed.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
@@ -148,7 +187,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = line_classes(docs, id_col, text_col, edits, min_chars)
     gone = found.where("doc_id <> class_doc or line_no <> class_line").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
     df = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("_id"), F.split(F.col(text_col).cast("string"), "\n", -1).alias("_all"))
-    df = df.join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    df = df.join(gone.withColumnRenamed("doc_id", "_id").hint("merge"), "_id", "left")
     some = F.filter("_all", lambda x, i: ~F.array_contains(F.col("_gone"), i))
     cleaned = F.when(F.col("_gone").isNull(), F.col("doc")[text_col].cast("string")).otherwise(F.array_join(some, "\n"))
     count = F.size(F.filter("_all", lambda x: F.btrim(x, F.lit(SPACES)) != ""))
