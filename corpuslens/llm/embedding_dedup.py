@@ -1,9 +1,12 @@
-"""Operator 5: near-duplicate vectors by sorted projection passes.
+"""Operator 5: near-duplicate vectors by tables of random-hyperplane signs.
 
-Equal vectors collapse first. Each pass orders the vectors by a key of BITS random-hyperplane signs, and compares each with
-its next WINDOW neighbours; verified pairs of all passes are united. The windows are a bound on candidates, so each united
-component is then compared within itself in pairs of blocks, which gives every vector's exact number of links there,
-however large the component is; no pair is written out.
+Equal vectors collapse first. Each table deals the vectors into buckets by the signs of their projections on its planes, and
+all pairs of a bucket are compared, a large bucket in pairs of blocks, however many vectors meet there. Two vectors at
+the threshold agree in a sign with probability p = 1 - arccos(threshold) / pi, whatever their dimension and neighbours, so
+`plan` takes as many tables as leave a link out of all of them with a probability of at most MISS; the signs follow the
+number of vectors. Few vectors get one table without signs, which is exact. Each task returns only links that join something
+new; each united component is then compared within itself in pairs of blocks, which gives every vector's exact number of
+links there. No pair is written out.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with null id, link with
 nothing and are kept; vectors of different lengths never link; equal rows count as different vectors; an empty table gives
@@ -12,66 +15,82 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import Union, components
+from ._graph import components
 from ._io import discard, stored, table
 
-PASSES, BITS, WINDOW, BLOCK = 8, 60, 32, 512
+#: The probability that a link at the threshold is in no table, rows in a block of a bucket and of a component, and tables in a round.
+MISS, BUCKET, BLOCK, ROUND = 1e-6, 2048, 512, 4
+#: Comparisons that cost as much as carrying a vector to a task.
+CARRY = 2000
+
+
+def plan(n: int, threshold: float, miss: float = MISS, bucket: int = BUCKET) -> tuple[int, int]:
+    """Signs and tables for n vectors: the cheapest that keep to the miss probability; (0, 1) compares all pairs."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+
+    def tables(bits: int) -> int:
+        return 1 if not bits or agree >= 1 else math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
+
+    def cost(bits: int) -> float:
+        return tables(bits) * (n / 2**bits + CARRY * math.ceil(n / 2**bits / bucket))
+
+    best = min(range(31), key=cost)
+    return best, tables(best)
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+    x = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _keyed(seed: int, bits: int):
-    """The key of each vector: signs of projections, most significant first."""
+def _keyed(bits: int, tables: int):
+    """The key of each vector in each table: signs of projections."""
     planes: dict[int, np.ndarray] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dim = np.asarray(batch.column("dim"))
-            key = np.zeros(len(dim), np.int64)
+            keys = np.zeros((len(dim), tables), np.int32)
             for d in np.unique(dim):
-                plane = planes.setdefault(int(d), np.random.default_rng([seed, int(d)]).standard_normal((int(d), bits)))
                 at = np.flatnonzero(dim == d)
-                signs = np.array(batch.column("vec").take(pa.array(at)).to_pylist(), np.float64) @ plane > 0
-                key[at] = signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("dim"), pa.array(key), batch.column("vec")], names=["rep", "dim", "key", "vec"])
+                plane = planes.setdefault(int(d), np.random.default_rng([bits, int(d)]).standard_normal((int(d), tables * bits)))
+                signs = _unit(batch.column("vec").take(pa.array(at))) @ plane > 0
+                keys[at] = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int32))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(dim) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d1", "d2", "rep", "many", "dim", "vec")), keys], names=["d1", "d2", "rep", "many", "dim", "vec", "keys"])
 
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("dim"), batch.column("vec"), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(np.arange(n, n + batch.num_rows))], names=["rep", "dim", "vec", "part", "nth"])
-        n += batch.num_rows
-
-
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _windows(threshold: float, window: int):
+def _linked(threshold: float, strip: int = 256):
+    """Links between the vectors of one or two blocks of a bucket that join something new."""
+
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("rank")
-        ids, dims, rank, out = rows.column("rep").to_numpy(), rows.column("dim").to_numpy(), rows.column("rank").to_numpy(), []
-        group = Union(len(ids))
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            x = _unit(rows.column("vec").take(pa.array(at)))
-            for step in range(1, min(window, len(at) - 1) + 1):
-                close = np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold
-                for i in np.flatnonzero(close & (rank[at[step:]] - rank[at[:-step]] <= window)).tolist():
-                    if group.join(int(at[i]), int(at[i + step])):
-                        out.append((ids[at[i]], ids[at[i + step]]))
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        ids, block, x, out = rows.column("rep").to_numpy(), rows.column("block").to_numpy(), _unit(rows.column("vec")), []
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        label, y = np.arange(len(ids)), x[right].T
+        for lo in range(0, len(left), strip):
+            some = left[lo : lo + strip]
+            close = x[some] @ y >= threshold
+            for k in np.flatnonzero((close & (label[right] != label[some][:, None])).any(1)).tolist():
+                a, near = some[k], right[close[k]]
+                near = near[label[near] != label[a]]
+                joined, first = np.unique(label[near], return_index=True)
+                out += [(ids[a], ids[b]) for b in near[first]]
+                label[np.isin(label, joined)] = label[a]
         return pa.table(list(map(list, zip(*out, strict=True))) or [[], []], schema=_LINKS)
 
     return run
@@ -90,28 +109,28 @@ def _counted(threshold: float):
     return run
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, miss: float = MISS, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
-    df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     fine = F.col("vec_id").isNotNull() & F.forall("vec", finite) & F.exists("vec", lambda x: x != 0)
     df = df.withColumn("fine", F.coalesce(fine, F.lit(False)))
     digest = [F.xxhash64("vec").alias("d1"), F.xxhash64(F.reverse("vec")).alias("d2")]
     same = df.where("fine").groupBy(*digest).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many"), F.first("vec").alias("vec"))
-    same = stored(same.withColumn("dim", F.size("vec")), "vectors")
-    spark, links = df.sparkSession, []
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for p in range(passes):
-        keyed = same.select("rep", "dim", "vec").mapInArrow(_keyed(p, bits), "rep long, dim int, key long, vec array<double>")
-        ordered = keyed.repartitionByRange(n, "dim", "key", "rep").sortWithinPartitions("dim", "key", "rep")
-        ordered = stored(ordered.mapInArrow(_numbered, "rep long, dim int, vec array<double>, part int, nth long"), "ordered")
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-        first = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
-        ranked = ordered.join(first, "part").select("rep", "dim", "vec", (F.col("first") + F.col("nth")).alias("rank"))
-        at, room = F.floor(F.col("rank") / block), F.col("rank") % block
-        ranked = ranked.withColumn("block", F.explode(F.when((room < window) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))))
-        links.append(stored(ranked.groupBy("block").applyInArrow(_windows(threshold, window), "a long, b long"), "links"))
-        discard(ordered)
+    plain = stored(same.withColumn("dim", F.size("vec")), "vectors")
+    bits, tables = plan(plain.count(), threshold, miss, bucket)
+    same = stored(plain.mapInArrow(_keyed(bits, tables), f"d1 long, d2 long, rep long, many long, dim int, vec {kind}, keys array<int>"), "keyed")
+    discard(plain)
+    large = same.select("dim", F.posexplode("keys").alias("t", "key")).groupBy("dim", "t", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket)
+    large = stored(large.select("dim", "t", "key", F.ceil(F.col("size") / bucket).cast("int").alias("blocks")), "large")
+    links = []
+    for t in range(0, tables, ROUND):
+        dealt = same.select("rep", "dim", "vec", F.posexplode(F.slice("keys", t + 1, ROUND)).alias("t", "key")).withColumn("t", F.col("t") + t)
+        dealt = dealt.join(large, ["dim", "t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("rep", "vec", "dim", "t", "key", "block", "i", "j")
+        links.append(stored(dealt.groupBy("dim", "t", "key", "i", "j").applyInArrow(_linked(threshold), "a long, b long"), "links"))
     pairs = links[0]
     for x in links[1:]:
         pairs = pairs.union(x)

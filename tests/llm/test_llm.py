@@ -255,6 +255,38 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(df.where("vec_id = -1")).count() == 0
 
 
+def test_lone_pairs(spark, tmp_path):
+    """Isolated pairs just over the threshold among many spread vectors, and a bucket of many vectors, against all products."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((100_000, 64)).astype(np.float32)
+    x[:3000] = x[0] + 0.6 * rng.standard_normal((3000, 64)).astype(np.float32)  # near one direction, mostly under the threshold
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k, cosine in enumerate(np.linspace(0.9005, 0.92, 300)):
+        a, b = 10_000 + k, 60_000 + k
+        side = x[b] - (x[b] @ x[a]) * x[a]
+        x[b] = cosine * x[a] + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    wide, links = x.astype(np.float64), []
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    for lo in range(0, len(x), 2000):
+        i, j = np.nonzero(x[lo : lo + 2000] @ x[lo:].T > 0.8999)
+        links += [(lo + a, lo + b) for a, b in zip(i.tolist(), j.tolist()) if a < b and wide[lo + a] @ wide[lo + b] >= 0.9]
+    assert sum(a >= 10_000 for a, _ in links) == 300
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    got = embedding_dedup.near_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).toPandas().set_index("vec_id").sort_index()
+    many = Counter(i for link in links for i in link)
+    assert got.n_links.tolist() == [many[i] for i in range(len(x))] and got.component_id.tolist() == components(len(x), links)
+
+
+def test_sign_tables():
+    agree = 1 - math.acos(0.9) / math.pi
+    for n in (0, 1000, 10**5, 10**6, 10**8):
+        bits, tables = embedding_dedup.plan(n, 0.9)
+        assert (1 - agree**bits) ** tables <= 1e-6 and n / 2**bits < 50_000
+
+
 def brute_sets(texts, width, threshold):
     sets = []
     for _, t in texts:
