@@ -14,7 +14,7 @@ from .table_queries import labelled, read
 from .text_queries import PATTERNS, PHRASES, W, q, r
 
 QUERIES, ORACLES = {}, {}
-POOL_SHARED, FEATURES = 28, 500
+FEATURES = 500
 COLUMNS = ["n_chars", "boilerplate_density", "vocabulary_diversity", "sentence_length_cv", "ai_mean_word_length", "ai_hapax_ratio"]
 
 
@@ -51,12 +51,12 @@ def author_network(spark: SparkSession, d: str) -> DataFrame:
     return G.network_features(edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, s AS (SELECT a, b FROM n WHERE n >= {POOL_SHARED}), sym AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
+@query(f"""WITH RECURSIVE {_PAIRS}, s AS (SELECT a, b FROM n WHERE n >= 3), sym AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
 reach AS (SELECT DISTINCT a AS node, a AS head FROM sym UNION SELECT sym.b, reach.head FROM reach JOIN sym ON sym.a = reach.node), h AS (SELECT node, min(head) AS pool FROM reach GROUP BY node),
 z AS (SELECT pool, count(*) AS members FROM h GROUP BY pool HAVING count(*) >= 3), t AS (SELECT pool, count(*) AS ties FROM s JOIN h ON s.a = h.node GROUP BY pool), j AS (SELECT pool, count(DISTINCT paper) AS papers FROM e JOIN h ON e.author = h.node GROUP BY pool)
 SELECT pool, members, papers, {r('ties / (members * (members - 1) / 2.0::DOUBLE)')} AS density FROM z JOIN t USING (pool) JOIN j USING (pool)""")
 def author_pools(spark: SparkSession, d: str) -> DataFrame:
-    return G.author_pools(edges(spark, d), shared=POOL_SHARED)
+    return G.author_pools(edges(spark, d))
 
 
 @query(f"""WITH c AS (SELECT DISTINCT l_orderkey % 500 AS src, l_partkey % 600 AS dst FROM lineitem), i AS (SELECT * FROM c WHERE dst < 500),
