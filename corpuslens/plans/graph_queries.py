@@ -14,7 +14,6 @@ from .table_queries import labelled, read
 from .text_queries import PATTERNS, PHRASES, W, q, r
 
 QUERIES, ORACLES = {}, {}
-FEATURES = 500
 COLUMNS = ["n_chars", "boilerplate_density", "vocabulary_diversity", "sentence_length_cv", "ai_mean_word_length", "ai_hapax_ratio"]
 
 
@@ -91,7 +90,7 @@ _TFIDF = f"""d AS (SELECT doc_id, text AS t FROM documents WHERE length(trim(coa
 w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(t), '[{W}]{{2,}}'), lambda x: x NOT IN ({_stop})) AS w FROM d),
 terms AS (SELECT doc_id, unnest(w || CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END) AS term FROM w),
 c AS (SELECT doc_id AS doc, term, count(*) AS n FROM terms GROUP BY ALL),
-v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT {FEATURES}),
+v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT 5000),
 x AS (SELECT doc, term, (1.0 + ln(n::DOUBLE)) * idf AS raw FROM c JOIN v USING (term)),
 wt AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS wt FROM x)"""
 _COS = "cs AS (SELECT a.doc AS i, b.doc AS j, round(sum(a.wt * b.wt), 9) AS cos FROM wt a JOIN wt b ON a.term = b.term AND a.doc <> b.doc GROUP BY ALL)"
@@ -99,7 +98,7 @@ _COS = "cs AS (SELECT a.doc AS i, b.doc AS j, round(sum(a.wt * b.wt), 9) AS cos
 
 @query(f"WITH {_TFIDF} SELECT doc, term, {r('wt')} AS wt FROM wt")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    return N.tfidf(read(spark, d, "documents"), "doc_id", "text", FEATURES).select("doc", "term", steady(F.col("wt")).alias("wt"))
+    return N.tfidf(read(spark, d, "documents"), "doc_id", "text").select("doc", "term", steady(F.col("wt")).alias("wt"))
 
 
 @query(f"""WITH {_TFIDF}, {_COS}, f AS (SELECT i AS doc, max(cos) AS best, sum(cos) AS total, count(*) FILTER (cos >= 0.85) AS n_high, count(*) FILTER (cos >= 0.65) AS n_moderate FROM cs GROUP BY i),
@@ -107,19 +106,19 @@ near AS (SELECT i AS doc, min(j) AS nearest FROM cs JOIN f ON cs.i = f.doc AND c
 SELECT doc_id AS doc, {r('coalesce(best, 0)')} AS sim_max, {r('coalesce(total / (SELECT count(DISTINCT doc) FROM wt), 0)')} AS sim_mean, coalesce(n_high, 0) AS n_high, coalesce(n_moderate, 0) AS n_moderate, coalesce(nearest, -1) AS nearest
 FROM documents LEFT JOIN f ON doc_id = f.doc LEFT JOIN near ON doc_id = near.doc""")
 def similarity_features(spark: SparkSession, d: str) -> DataFrame:
-    return N.similarity_features(read(spark, d, "documents"), "doc_id", "text", FEATURES).na.fill(-1, ["nearest"])
+    return N.similarity_features(read(spark, d, "documents"), "doc_id", "text").na.fill(-1, ["nearest"])
 
 
 @query(f"""WITH RECURSIVE {_TFIDF}, {_COS}, l AS (SELECT i, j FROM cs WHERE cos >= 0.85), reach AS (SELECT DISTINCT i AS node, i AS head FROM l UNION SELECT l.j, reach.head FROM reach JOIN l ON l.i = reach.node),
 h AS (SELECT node, min(head) AS cluster FROM reach GROUP BY node), s AS (SELECT node AS doc, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM h) SELECT * FROM s WHERE size >= 3""")
 def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return N.clusters(read(spark, d, "documents"), "doc_id", "text", max_features=FEATURES)
+    return N.clusters(read(spark, d, "documents"), "doc_id", "text")
 
 
 @query()
 def methods_similarity(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents").select(F.concat(F.lit("PMC"), F.col("doc_id")).alias("pmcid"), F.col("text").alias("methods"))
-    return N.methods_similarity(rows, max_features=FEATURES)
+    return N.methods_similarity(rows)
 
 
 @query()
@@ -147,7 +146,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
-    out = scoring.feature_matrix(corpus(spark, d), PHRASES, FEATURES)
+    out = scoring.feature_matrix(corpus(spark, d), PHRASES)
     return out.drop("abstract").withColumn("score", scoring.rule_score(out))
 
 
