@@ -15,6 +15,7 @@ have equal spans; an empty table gives an empty result; null ids pass through; o
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from ._io import table
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Documents whose base spans train the field, tokens in a segment, and tokens kept on either side of a trigger.
-SAMPLE, LONGEST, MARGIN = 3_000, 16, 6
+#: Documents whose base spans train the field, tokens in a segment, tokens kept on either side of a trigger, and first tokens scored at a time.
+SAMPLE, LONGEST, MARGIN, STEP = 3_000, 16, 6, 256
 
 Span = tuple[int, int, int]  # kind, start, end (exclusive), in code points
 
@@ -103,12 +104,26 @@ class Window:
     def __init__(self, text: str, start: int, end: int):
         self.text = text
         self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
-        words = [text[a:b] for a, b in self.tokens]
-        lower = [w.lower() for w in words]
-        self.segments: list[tuple[int, int]] = []
-        self.features: list[list[int]] = []
-        n = len(words)
-        for i in range(n):
+        self.words = [text[a:b] for a, b in self.tokens]
+        self.lower = [w.lower() for w in self.words]
+
+    @functools.cached_property
+    def _all(self) -> tuple[list[tuple[int, int]], list[list[int]]]:
+        return self.candidates(0, len(self.tokens))
+
+    @property
+    def segments(self) -> list[tuple[int, int]]:
+        return self._all[0]
+
+    @property
+    def features(self) -> list[list[int]]:
+        return self._all[1]
+
+    def candidates(self, first: int, last: int) -> tuple[list[tuple[int, int]], list[list[int]]]:
+        """Segments that begin in tokens first to last (exclusive), wherever they end, and their features."""
+        words, lower, n = self.words, self.lower, len(self.words)
+        segments, features = [], []
+        for i in range(first, last):
             if not (words[i][0].isalnum() or words[i] in "+(["):
                 continue
             digits, at, dot = 0, False, False
@@ -120,8 +135,9 @@ class Window:
                 if j > i and self.tokens[j][0] - self.tokens[j - 1][1] > 2:
                     break
                 if (w[0].isalnum() or w in ")]") and (digits >= 4 or at and dot and j - i >= 3):
-                    self.segments.append((i, j + 1))
-                    self.features.append(self._features(words, lower, i, j + 1))
+                    segments.append((i, j + 1))
+                    features.append(self._features(words, lower, i, j + 1))
+        return segments, features
 
     def _features(self, words: list[str], lower: list[str], i: int, j: int) -> list[int]:
         a, b = self.tokens[i][0], self.tokens[j - 1][1]
@@ -147,13 +163,16 @@ class Window:
         on += [f"cue_{w}" for w in lower[max(0, i - 3) : i] if f"cue_{w}" in _AT]
         return [_AT[k] for k in on]
 
-
     def matrix(self) -> np.ndarray:
         """(segments, features), 1 where a feature is on."""
-        x = np.zeros((len(self.features), len(_NAMES)))
-        for k, f in enumerate(self.features):
-            x[k, f] = 1
-        return x
+        return _matrix(self.features)
+
+
+def _matrix(features: list[list[int]]) -> np.ndarray:
+    x = np.zeros((len(features), len(_NAMES)))
+    for k, f in enumerate(features):
+        x[k, f] = 1
+    return x
 
 
 def _scores(window: Window, weights: np.ndarray) -> np.ndarray:
@@ -161,28 +180,39 @@ def _scores(window: Window, weights: np.ndarray) -> np.ndarray:
     return window.matrix() @ weights.T
 
 
-def decode(window: Window, weights: np.ndarray) -> list[Span]:
-    """The best segmentation: tokens outside segments score 0."""
-    scores, n = _scores(window, weights), len(window.tokens)
-    ending: dict[int, list[int]] = {}
-    for k, (_, j) in enumerate(window.segments):
-        ending.setdefault(j, []).append(k)
-    best, back = [0.0] * (n + 1), [-1] * (n + 1)
-    kind = scores.argmax(1) if len(scores) else []
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for k in ending.get(j, ()):
-            value = best[window.segments[k][0]] + scores[k, kind[k]]
+def decode(window: Window, weights: np.ndarray, step: int = STEP) -> list[Span]:
+    """The best segmentation: tokens outside segments score 0. Segments are scored for `step` first tokens at a time, and each
+    waits at its end until the best score there is settled, so the result is the whole window's at any length."""
+    n = len(window.tokens)
+    best, back = [0.0] * (n + 1), [(-1, -1)] * (n + 1)
+    waiting: dict[int, list[tuple[float, int, int]]] = {}
+
+    def settle(j: int) -> None:
+        if j:
+            best[j] = best[j - 1]
+        for value, i, kind in waiting.pop(j, ()):
             if value > best[j]:
-                best[j], back[j] = value, k
+                best[j], back[j] = value, (i, kind)
+
+    for first in range(0, n, step):
+        last = min(n, first + step)
+        segments, features = window.candidates(first, last)
+        scores = _matrix(features) @ weights.T
+        kinds, k = scores.argmax(1).tolist(), 0
+        tops = scores.max(1).tolist()
+        for i in range(first, last):
+            settle(i)
+            while k < len(segments) and segments[k][0] == i:
+                waiting.setdefault(segments[k][1], []).append((best[i] + tops[k], i, kinds[k]))
+                k += 1
+    settle(n)
     out, j = [], n
     while j:
-        k = back[j]
-        if k < 0:
+        i, kind = back[j]
+        if i < 0:
             j -= 1
         else:
-            i = window.segments[k][0]
-            out.append((int(kind[k]), window.tokens[i][0], window.tokens[j - 1][1]))
+            out.append((kind, window.tokens[i][0], window.tokens[j - 1][1]))
             j = i
     return out[::-1]
 
@@ -222,12 +252,12 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
     lo = hi = None
     for a, b in found:
         a, b = max(0, a - MARGIN * 12), min(len(text), b + MARGIN * 12)
-        if lo is not None and a <= hi and b - lo < 1200:
+        if lo is not None and a <= hi:
             hi = max(hi, b)
         else:
             if lo is not None:
                 yield lo, hi
-            lo, hi = (max(a, hi) if hi is not None else a), b
+            lo, hi = a, b
     if lo is not None:
         yield lo, hi
 

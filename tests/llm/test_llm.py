@@ -392,6 +392,20 @@ def test_decode_is_best(docs):
     assert found == pytest.approx(best(0))
 
 
+def test_pii_long_stretch(docs):
+    """A span at every offset across 1200 characters of digits is found whole; steps of scoring change nothing."""
+    weights = pii.train([t for t in docs.text if any(c.isdigit() for c in t)])
+    row, span = "row 12 of 40, ", "(743) 555-3824"
+    for at in range(1000, 1300):
+        text = "x" * (at % len(row)) + " " + row * (at // len(row)) + f"please call {span} now, " + row * 20
+        start = text.index(span)
+        assert pii.spans_of(text, weights)[1] == [(3, start, start + len(span))], at
+    for text in docs.text[:100]:
+        for lo, hi in pii._windows(text):
+            window = pii.Window(text, lo, hi)
+            assert pii.decode(window, weights) == pii.decode(window, weights, 3)
+
+
 def test_pii_odd(odd, none):
     rows = {r.doc_id: r for r in pii.find(odd, pii.learn(odd)).collect()}
     assert rows[2].spans == "" and rows[9].n_email == 1 and rows[9].spans.startswith("email:")
