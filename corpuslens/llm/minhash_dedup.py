@@ -9,8 +9,9 @@
    blocks is compared in one task: overlaps of sketches, the union-sketch estimate as a filter, and the exact Jaccard
    similarity of the full sets. Tasks return only links that join something new, so no pair table is ever made.
 
-For sets of at most K shingles the prefix is exact. For larger ones the least overlap is six standard deviations under the
-expected overlap at the threshold, so a link is missed with a probability below 1e-8.
+For sets whose partners have at most K shingles the prefix is exact. For others the least overlap is the binomial quantile at
+MISS / 2 of K values that are common with the probability of the threshold, the least there is (one text within the other), and
+the estimate's cut is such a quantile for each size of the union sketch, so a link is missed with a probability of at most 2 MISS.
 
 Defined results: texts without a word (null, blank) and rows with null id link with nothing and are kept; equal rows are
 one component; an empty table gives an empty result; other columns are ignored.
@@ -18,6 +19,8 @@ one component; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,6 +35,8 @@ from ._graph import Union, components
 from ._io import stored, table
 
 K = 64
+#: The probability that the prefix drops a link at the threshold, and that the estimate does.
+MISS = 1e-8
 #: Documents in a block; a task compares two blocks.
 BLOCK = 256
 
@@ -77,17 +82,31 @@ def _sketches(width: int, k: int):
     return run
 
 
+@functools.cache
+def surely(n: int, share: float, miss: float) -> int:
+    """The most m for which fewer than m of n draws, each common with probability share, have a probability of at most miss."""
+    below = 0.0
+    for m in range(n + 1):
+        below += math.comb(n, m) * share**m * (1 - share) ** (n - m)
+        if below > miss:
+            return m
+    return n
+
+
 def least_overlap(n: Column, threshold: float, k: int) -> Column:
-    """Retained values that a set of n shingles shares at least with any set over the threshold."""
+    """Retained values that a set of n shingles shares at least with any set over the threshold.
+
+    A value of the larger set is common with a probability of at least the threshold: just that where it holds the other set,
+    2t / (1 + t) for sets of equal size. Either sketch may be the one that ends first, hence half of MISS for each."""
     sure = F.ceil(F.lit(threshold) * n)
-    share = 2 * threshold / (1 + threshold)
-    likely = int(np.floor(k * share - 6 * np.sqrt(k * share * (1 - share))))
-    return F.when(n <= int(threshold * k), sure).otherwise(F.least(sure, F.lit(likely)))
+    return F.when(n <= int(threshold * k), sure).otherwise(F.least(sure, F.lit(surely(k, threshold, MISS / 2))))
 
 
 def _pairs(threshold: int, k: int):
     """Links between the documents of one or two blocks that join something new."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    #: Common values by the size of the union sketch, whichever it is.
+    cut = np.array([surely(u, threshold / 100, MISS / (2 * k)) for u in range(2 * k + 1)])
 
     def compare(rows: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
@@ -102,7 +121,7 @@ def _pairs(threshold: int, k: int):
         last[n <= k] = np.iinfo(np.uint64).max
         below = np.stack([np.searchsorted(s, last, side="right") for s in sketch])
         union = np.maximum(below + below.T - overlap, 1)
-        maybe = (overlap >= 0.6 * union) & (100 * np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n))
+        maybe = (overlap >= cut[union.astype(np.int64)]) & (100 * np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n))
         if rows.column("i")[0] != rows.column("j")[0]:
             maybe &= block[:, None] != block
         _, local = np.unique(np.concatenate(sets), return_inverse=True)

@@ -314,6 +314,22 @@ def test_minhash(spark, docs, width, threshold, block):
     assert all((got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), first[c], first[c] == i) for (i, _), s, c in zip(texts, sets, labels))
 
 
+def test_minhash_nested(spark):
+    """A text within another at just the threshold, where few retained values are common and the added text is unique."""
+    assert minhash_dedup.surely(64, 0.85, 5e-9) <= 37 and minhash_dedup.surely(64, 0.8, 5e-9) <= 31
+    rows = []
+    for seed in range(20_000):
+        words_ = [f"w{seed}x{i}" for i in range(1002)]
+        short, long = (" ".join(words_[:n]) for n in (852, 1002))  # 850 of 1000 shingles
+        a, b = minhash_dedup.shingle_sets([short.encode(), long.encode()], 3)
+        if len(np.intersect1d(a[:64], b[:64])) < 45:
+            rows += [(2 * seed, short), (2 * seed + 1, long)]
+            break
+    assert rows and (len(a), len(b)) == (850, 1000)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, threshold=85).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_minhash_odd(odd, none):
     rows = [(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(odd).collect()]
     assert {(1, 1, True), (5, 1, False), (2, 2, True), (3, 3, True), (None, None, True)} <= set(rows)
