@@ -6,19 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import steady
-from .storage import kept
+from .storage import discard, kept
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node within reach) of edges a, b: labels spread and jump until nothing moves."""
-    both = kept(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.lit(True).alias("moved")), "labels")
-    while labels.where("moved").limit(1).count():
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("step"))
-        new = new.join(labels.select(F.col("node").alias("step"), F.col("component").alias("jump")), "step")
-        labels = kept(new.select("node", F.least("step", "jump").alias("component"), (F.least("step", "jump") != F.col("before")).alias("moved")), "labels")
-    return labels.select("node", "component")
+    """node, component (the least node within reach) for each node of an edge a, b between two nodes.
+
+    Randomised contraction: in each round every node moves to the first of itself and its neighbours in a new random order,
+    and edges become the edges of what is left. Edges shrink by a constant factor a round, so all rounds together cost a
+    few times the first, whatever the shapes are; a star of any size goes in one. Edges and moves of a round are written to the
+    shared folder, so a lost executor costs one round.
+    """
+    link = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    live = kept(edges.where(F.col("a") != F.col("b")).select(link.alias("l")).select("l.*").distinct(), "edges")
+    moves: list[DataFrame] = []
+    while not live.isEmpty():
+        order = lambda c, seed=len(moves): F.xxhash64(F.lit(seed), c)
+        both = live.union(live.select("b", "a"))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", order("b")).alias("first"))
+        moves.append(kept(first.select("node", F.when(order("first") < order("node"), F.col("first")).otherwise(F.col("node")).alias("to")), "moves"))
+        to = lambda c: moves[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        moved = live.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        old, live = live, kept(moved.where(F.col("a") != F.col("b")).select(link.alias("l")).select("l.*").distinct(), "edges")
+        discard(old)
+    if not moves:
+        return live.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    ends = moves[-1]
+    for move in moves[-2::-1]:
+        further = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        ends = move.join(further, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    ends = kept(ends, "ends")
+    least = ends.groupBy("to").agg(F.min("node").alias("component"))
+    found = kept(ends.join(least, "to").select("node", "component"), "components")
+    discard(live, ends, *moves)
+    return found
 
 
 def author_list(author_ids: Column, first_author: Column) -> Column:
