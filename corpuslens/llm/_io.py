@@ -1,15 +1,15 @@
-"""Reading the tables, and cutting lineage through the shared folder."""
+"""Reading the tables, and expressions that several operators need."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import discard
+from ..operators.storage import kept as stored
+
+__all__ = ["SPACE", "SPACES", "discard", "lower_ascii", "remainder", "row_tag", "stored", "table", "words"]
+
 #: Regex class of the characters between words, and the same as plain text.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -19,40 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new local one only where none is set (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-corpuslens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: later plans do not go back beyond it, and survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects its garbage."""
-    for _ in range(2):
-        time.sleep(0.3)  # what has just ended is still referred to
-        gc.collect()
-        spark._jvm.System.gc()
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """The maximal runs without space, tab, line or page breaks; an empty array for null or blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -66,3 +32,8 @@ def lower_ascii(text: Column) -> Column:
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key's text modulo modulus: the documented split into training and held-out documents."""
     return F.pmod(F.crc32(key.cast("string")), F.lit(modulus))
+
+
+def row_tag(text: Column) -> Column:
+    """60 bits of the text's digest: with an id, the name of a row where ids repeat. Null for null."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

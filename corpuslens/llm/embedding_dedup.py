@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components
+from ..operators.graph import components
 from ._io import discard, stored, table
 
 #: The probability that a link at the threshold is in no table, rows in a block of a bucket and of a component, and tables in a round.

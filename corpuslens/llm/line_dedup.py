@@ -3,12 +3,15 @@
 Lines of at least MIN_CHARS characters (without the white space around them) are equal within EDITS edits if they agree in
 one of EDITS + 1 segments (pigeonhole). Every distinct line is indexed by its segments, with its length and the segment's
 number, and probes the indexes of lines up to EDITS characters shorter with the substrings at the only offsets that can
-match. Candidates whose counts of letters differ too much go (a necessary condition); the other pairs are verified by edit distance in a band of 2 * EDITS + 1 bits that moves down the diagonal. Linked
-lines form classes; of each class the first line in order of (doc_id, line number) stays and all others go.
+match. All these keys are dealt once, by key; keys where a line meets an indexed one are found there by their least and
+greatest line, and only their lines go on. Candidates whose counts of letters differ too much go (a necessary
+condition); the other pairs are verified by edit distance in a band of 2 * EDITS + 1 bits that moves down the diagonal.
+Linked lines form classes; of each class the first line in order of (doc_id, text's digest, line number) stays and all others
+go.
 
 Defined results: null and blank texts have no lines to remove; documents with null id stay as they are and are no one's
-first occurrence; rows that share an id share their removals; ties cannot occur, as occurrences are ordered; an empty table
-gives an empty result; other columns pass through untouched.
+first occurrence; rows that share an id and differ in text are judged apart, rows alike in both are alike in their result; ties
+cannot occur, as occurrences are ordered; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import components
-from ._io import SPACES, discard, release, stored, table
+from ..operators.graph import components
+from ._io import SPACES, discard, row_tag, stored, table
 
 EDITS = 2
 MIN_CHARS = 24
@@ -38,22 +41,19 @@ def _key(length: Column, i: int, text: Column) -> Column:
     return F.xxhash64(length, F.lit(i), text)
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    """The keys under which a line is indexed."""
-    return F.array(*(_key(length, i, F.substring(line, *_segment(length, i, edits))) for i in range(edits + 1)))
-
-
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """The keys that find all lines of at most its length that may be within edits of it."""
-    keys = []
+def line_keys(line: Column, length: Column, edits: int) -> Column:
+    """The edits + 1 keys under which a line is indexed, then those that find the other lines of at most its length that may be
+    within edits of it. A segment in its own place is both."""
+    own = [_key(length, i, F.substring(line, *_segment(length, i, edits))) for i in range(edits + 1)]
     for less in range(edits + 1):
         short = length - less
         for i in range(edits + 1):
             start, size = _segment(short, i, edits)
             after = edits - i
             for shift in range(max(-i, less - after), min(i, less + after) + 1):
-                keys.append(_key(short, i, F.substring(line, start + shift, size)))
-    return F.array(*keys)
+                if less or shift:
+                    own.append(_key(short, i, F.substring(line, start + shift, size)))
+    return F.array(*own)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -139,59 +139,69 @@ def counts_apart(a: Column, b: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, line_no, line, length, h1, h2 for the lines that count; two 64-bit hashes name a line."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "line_no", F.btrim("raw", F.lit(SPACES)).alias("line"))
-    lines = lines.withColumn("length", F.length("line")).where(F.col("length") >= min_chars)
+    """doc_id, tag, line_no, line, h1, h2 for the lines that count; two 64-bit hashes name a line, id and tag its row."""
+    text = F.col(text_col).cast("string")
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), row_tag(text).alias("tag"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
+    lines = lines.select("doc_id", "tag", "line_no", F.btrim("raw", F.lit(SPACES)).alias("line")).where(F.length("line") >= min_chars)
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
+def candidates(texts: DataFrame, edits: int) -> DataFrame:
+    """key, h1, own for the lines under each key where a line meets another that is indexed there. texts: distinct h1, line."""
+    line, length = F.col("line"), F.length("line")
+    rows = texts.select("h1", F.posexplode(line_keys(line, length, edits)).alias("pos", "key")).select("key", "h1", (F.col("pos") <= edits).alias("own")).repartition("key")
+    met = rows.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.max("own").alias("indexed"))
+    met = met.where("indexed and least <> most").select("key")
+    # an inner join, as a semi-join would move below the exchange, which both sides are to share
+    return rows.join(met.hint("shuffle_hash"), "key").distinct()
+
+
+def near_lines(texts: DataFrame, edits: int) -> DataFrame:
+    """h1, h2, component for the distinct lines (h1, h2, line) that are within edits of another one."""
+    members = stored(candidates(texts, edits), "members")
+    some = texts.join(members.select("h1").distinct().hint("shuffle_hash"), "h1", "left_semi").withColumns({"node": F.monotonically_increasing_id(), "letters": letter_counts(F.col("line"))})
+    some = stored(some, "some")
+    named = members.join(some.select("h1", "node", "letters"), "h1")
+    side = lambda role: named.select("key", *(F.col(c).alias(f"{role}_{c}") for c in ("node", "letters", "own")))
+    maybe = side("a").where("a_own").join(side("b"), "key").where(F.when(F.col("b_own"), F.col("a_node") < F.col("b_node")).otherwise(F.col("a_node") != F.col("b_node")))
+    maybe = maybe.where(counts_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits)
+    maybe = stored(maybe.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "pairs")
+    text = lambda role: some.select(F.col("node").alias(role), F.col("line").alias(f"{role}_line"))
+    pairs = maybe.join(text("a"), "a").join(text("b"), "b").where(within_edits(F.col("a_line"), F.col("b_line"), edits))
+    links = stored(pairs.select("a", "b"), "links")
+    found = stored(some.select("h1", "h2", "node").join(components(links), "node").select("h1", "h2", "component"), "near")
+    discard(members, some, maybe, links)
+    return found
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no, class_doc, class_line for every line of a class with another line: the place of the class's first."""
-    spark = docs.sparkSession
+    """doc_id, tag, line_no, first for every line of a class with another line; first: whether it is the class's first."""
     lines = occurrences(docs, id_col, text_col, min_chars)
-    at = stored(lines.select("doc_id", "line_no", "h1", "h2"), "lines")
-    once = at.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("many"))
+    at = stored(lines.select("doc_id", "tag", "line_no", "h1", "h2"), "lines")
     texts = stored(lines.select("h1", "h2", "line").distinct(), "texts")
-    release(spark)
-    line, length = F.col("line"), F.length("line")
-    indexed = texts.select(F.col("h1").alias("short"), F.explode(index_keys(line, length, edits)).alias("index_key"))
-    probes = texts.select(F.col("h1").alias("long"), F.explode(probe_keys(line, length, edits)).alias("probe_key"))
-    # first the keys where a line meets another, each row once, then pairs among those few
-    meet = (F.col("index_key") == F.col("probe_key")) & (F.col("long") != F.col("short"))
-    probed = stored(probes.join(indexed, meet, "left_semi"), "probed")
-    release(spark)
-    found = stored(indexed.join(probed.hint("merge"), meet, "left_semi"), "found")
-    active = probed.select(F.col("long").alias("h1")).union(found.select(F.col("short").alias("h1"))).distinct()
-    some = texts.join(active.hint("merge"), "h1", "left_semi").withColumns({"node": F.monotonically_increasing_id(), "letters": letter_counts(line)})
-    some = stored(some, "some")
+    near = near_lines(texts, edits)
     discard(texts)
-    release(spark)
-    named = lambda role: some.select(F.col("h1").alias(role), F.col("node").alias(f"{role}_node"), F.col("letters").alias(f"{role}_letters"))
-    maybe = probed.join(named("long"), "long").join(found.join(named("short"), "short"), F.col("index_key") == F.col("probe_key"))
-    maybe = maybe.where((F.col("long_node") != F.col("short_node")) & (counts_apart(F.col("long_letters"), F.col("short_letters")) <= 2 * edits))
-    maybe = stored(maybe.select(F.least("long_node", "short_node").alias("a"), F.greatest("long_node", "short_node").alias("b")).distinct(), "pairs")
-    side = lambda name: some.select(F.col("node").alias(name), F.col("line").alias(f"{name}_line"))
-    pairs = maybe.join(side("a"), "a").join(side("b"), "b").where(within_edits(F.col("a_line"), F.col("b_line"), edits))
-    found = components(stored(pairs.select("a", "b"), "links"))
-    named = some.select("h1", "h2", "node").join(found, "node").select("h1", "h2", "component")
-    placed = once.join(named, ["h1", "h2"], "left").where("many > 1 or component is not null")
-    heads = placed.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
-    classes = placed.join(heads, "component", "left").select("h1", "h2", F.coalesce("head", "first").alias("head"))
-    classes = stored(classes, "classes")
-    return at.join(classes, ["h1", "h2"]).select("doc_id", "line_no", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"))
+    repeated = at.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("h1", "h2")
+    classes = repeated.join(near, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"))
+    placed = stored(at.join(classes.hint("shuffle_hash"), ["h1", "h2"]).select("doc_id", "tag", "line_no", "c1", "c2"), "placed")
+    place = F.struct("doc_id", "tag", "line_no")
+    heads = placed.groupBy("c1", "c2").agg(F.min(place).alias("head"))
+    out = stored(placed.join(heads, ["c1", "c2"]).select("doc_id", "tag", "line_no", (place == F.col("head")).alias("first")), "classes")
+    discard(at, placed, near)
+    return out
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its columns under `doc`, cleaned (the text without its repeated lines), n_lines, n_removed."""
     found = line_classes(docs, id_col, text_col, edits, min_chars)
-    gone = found.where("doc_id <> class_doc or line_no <> class_line").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    df = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("_id"), F.split(F.col(text_col).cast("string"), "\n", -1).alias("_all"))
-    df = df.join(gone.withColumnRenamed("doc_id", "_id").hint("merge"), "_id", "left")
-    some = F.filter("_all", lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    cleaned = F.when(F.col("_gone").isNull(), F.col("doc")[text_col].cast("string")).otherwise(F.array_join(some, "\n"))
-    count = F.size(F.filter("_all", lambda x: F.btrim(x, F.lit(SPACES)) != ""))
-    return df.select("doc", cleaned.alias("cleaned"), F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = found.where("not first").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_set("line_no").alias("_gone"))
+    text = F.col("doc")[text_col].cast("string")
+    df = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("_id"), row_tag(F.col(text_col).cast("string")).alias("_tag"))
+    df = df.join(gone.hint("shuffle_hash"), ["_id", "_tag"], "left")
+    some = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    cleaned = F.when(F.col("_gone").isNull(), text).otherwise(some)
+    count = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0))
+    return df.select("doc", cleaned.alias("cleaned"), count.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,11 +212,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sql() -> str:
     spaces = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return rf"""
-WITH RECURSIVE lines AS (
-  SELECT doc_id, j - 1 AS line_no, ls[j] AS raw, trim(ls[j], {spaces}) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(j)),
+WITH RECURSIVE docs AS (SELECT *, row_number() OVER () AS row_id, left(md5(text), 15) AS tag FROM documents),
+lines AS (
+  SELECT row_id, doc_id, tag, j - 1 AS line_no, ls[j] AS raw, trim(ls[j], {spaces}) AS line
+  FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS ls FROM docs), unnest(range(1, len(ls) + 1)) AS u(j)),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY doc_id, tag, line_no) AS pos FROM lines),
 once AS (
-  SELECT line, min(doc_id * 1000000 + line_no) AS pos, length(line) AS n FROM lines WHERE length(line) >= {MIN_CHARS} GROUP BY line),
+  SELECT line, min(pos) AS pos, length(line) AS n FROM placed WHERE length(line) >= {MIN_CHARS} AND doc_id IS NOT NULL GROUP BY line),
 near AS (
   SELECT a.pos AS a, b.pos AS b FROM once a JOIN once b ON a.line <> b.line AND b.n BETWEEN a.n AND a.n + {EDITS}
   WHERE (left(a.line, 8) = left(b.line, 8) OR right(a.line, 8) = right(b.line, 8) OR contains(b.line, substr(a.line, 9, a.n - 16)))
@@ -215,9 +227,9 @@ edges AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 reach AS (SELECT pos AS node, pos AS head FROM once UNION SELECT e.b, r.head FROM reach r JOIN edges e ON e.a = r.node),
 heads AS (SELECT node, min(head) AS head FROM reach GROUP BY node),
 judged AS (
-  SELECT l.doc_id, l.line_no, l.raw, l.line, coalesce(h.head <> l.doc_id * 1000000 + l.line_no, false) AS gone
-  FROM lines l LEFT JOIN once o ON o.line = l.line LEFT JOIN heads h ON h.node = o.pos),
+  SELECT l.row_id, l.doc_id, l.line_no, l.raw, l.line, coalesce(l.doc_id IS NOT NULL AND h.head <> l.pos, false) AS gone
+  FROM placed l LEFT JOIN once o ON o.line = l.line LEFT JOIN heads h ON h.node = o.pos),
 kept AS (
   SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
-         coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS cleaned FROM judged GROUP BY doc_id)
+         coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS cleaned FROM judged GROUP BY row_id, doc_id)
 SELECT doc_id, n_lines, n_removed, length(cleaned)::BIGINT AS kept_chars, md5(cleaned) AS kept_md5 FROM kept"""

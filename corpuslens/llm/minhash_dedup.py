@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._graph import Union, components
+from ..operators.graph import components
+from ._graph import Union
 from ._io import stored, table
 
 K = 64
