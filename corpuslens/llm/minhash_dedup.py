@@ -5,16 +5,20 @@
 2. Inverted lists of the retained values, pruned by the prefix principle: two sets over the threshold share at least
    `overlap(n)` retained values, so in an order by (frequency, value) they share one of the first size - overlap + 1.
    Values that only one set retains fill those places and are dropped, so frequent passages hardly make lists.
-3. Sets that share a list form candidate groups (connected components). A group is cut into blocks, and every pair of its
-   blocks is compared in one task: overlaps of sketches, the union-sketch estimate as a filter, and the exact Jaccard
-   similarity of the full sets. Tasks return only links that join something new, so no pair table is ever made.
+3. Every set that shares a list with another is first compared with one hub, the first set of the lists that it shares most
+   (hubs with many sets in blocks), by exact Jaccard similarity. That unites groups of copies with one comparison a set.
+4. Lists whose sets are united by then are done. The sets of the other lists form candidate groups (components over the
+   united classes). A group is cut into blocks, a large class into blocks of its own, and blocks that are not of one class are
+   compared in pairs, each pair in one task: overlaps of sketches, the union-sketch estimate as a filter, and the exact
+   Jaccard similarity of the full sets. Tasks return only links that join something new, so no pair table is ever made.
 
 For sets whose partners have at most K shingles the prefix is exact. For others the least overlap is the binomial quantile at
 MISS / 2 of K values that are common with the probability of the threshold, the least there is (one text within the other), and
 the estimate's cut is such a quantile for each size of the union sketch, so a link is missed with a probability of at most 2 MISS.
 
 Defined results: texts without a word (null, blank) and rows with null id link with nothing and are kept; equal rows are
-one component; an empty table gives an empty result; other columns are ignored.
+one component; rows that share an id and differ in text are documents of their own (`tag`, a hash of the text, tells them
+apart), and of rows alike in both all are the first or none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +37,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ._graph import Union
-from ._io import stored, table
+from ._io import discard, stored, table
 
 K = 64
 #: The probability that the prefix drops a link at the threshold, and that the estimate does.
 MISS = 1e-8
-#: Documents in a block; a task compares two blocks.
-BLOCK = 256
+#: Documents in a block, and shingles in one; a task compares two blocks.
+BLOCK, SHINGLES = 256, 1 << 18
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -78,7 +82,16 @@ def _sketches(width: int, k: int):
         for batch in _sliced(batches):
             sets = shingle_sets(_texts(batch.column("text")), width)
             digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "tag", "n", "digest", "sketch"])
+
+    return run
+
+
+def _full(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            sets = [s.tobytes() for s in shingle_sets(_texts(batch.column("text")), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(sets, pa.binary())], names=["node", "n", "set"])
 
     return run
 
@@ -103,15 +116,39 @@ def least_overlap(n: Column, threshold: float, k: int) -> Column:
     return F.when(n <= int(threshold * k), sure).otherwise(F.least(sure, F.lit(surely(k, threshold, MISS / 2))))
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table(list(map(list, zip(*pairs, strict=True))) or [[], []], schema=_LINKS)
+
+
+def _to_hub(threshold: int):
+    """Links between a hub and the sets of one of its blocks."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, hub = rows.column("node").to_pylist(), rows.column("hub")[0].as_py()
+        sets = dict(zip(ids, (np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()), strict=True))
+        of, out = sets.pop(hub), []
+        for node, s in sets.items():
+            if 100 * min(len(s), len(of)) >= threshold * max(len(s), len(of)):
+                at = np.minimum(np.searchsorted(of, s), len(of) - 1)
+                both = int((of[at] == s).sum())
+                if 100 * both >= threshold * (len(s) + len(of) - both):
+                    out.append((hub, node))
+        return _links(out)
+
+    return compare
+
+
 def _pairs(threshold: int, k: int):
-    """Links between the documents of one or two blocks that join something new."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Links between the sets of one block, or of two, that join something new."""
     #: Common values by the size of the union sketch, whichever it is.
     cut = np.array([surely(u, threshold / 100, MISS / (2 * k)) for u in range(2 * k + 1)])
 
     def compare(rows: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
-        ids, block = rows.column("doc_id").to_numpy(), rows.column("block").to_numpy()
+        ids, side, known = (rows.column(c).to_numpy() for c in ("node", "side", "class"))
         n = np.array([len(s) for s in sets])
         sketch = [s[:k] for s in sets]
         values, inverse = np.unique(np.concatenate(sketch), return_inverse=True)
@@ -123,61 +160,111 @@ def _pairs(threshold: int, k: int):
         below = np.stack([np.searchsorted(s, last, side="right") for s in sketch])
         union = np.maximum(below + below.T - overlap, 1)
         maybe = (overlap >= cut[union.astype(np.int64)]) & (100 * np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n))
-        if rows.column("i")[0] != rows.column("j")[0]:
-            maybe &= block[:, None] != block
+        maybe &= known[:, None] != known
+        if side.any():
+            maybe &= side[:, None] != side
         _, local = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(n)])
         flag = np.zeros(local.max() + 1, np.int64)
+        _, label = np.unique(known, return_inverse=True)
         group, out = Union(len(sets)), []
         for a in np.argsort(-maybe.sum(1), kind="stable").tolist():
-            others = [b for b in np.flatnonzero(maybe[a]).tolist() if b != a and group.find(a) != group.find(b)]
+            others = [b for b in np.flatnonzero(maybe[a]).tolist() if group.find(label[a]) != group.find(label[b])]
             if not others:
                 continue
             own = local[starts[a] : starts[a + 1]]
             flag[own] = 1
             for b in others:
-                if group.find(a) != group.find(b):
+                if group.find(label[a]) != group.find(label[b]):
                     both = int(flag[local[starts[b] : starts[b + 1]]].sum())
-                    if 100 * both >= threshold * (n[a] + n[b] - both) and group.join(a, b):
+                    if 100 * both >= threshold * (n[a] + n[b] - both) and group.join(label[a], label[b]):
                         out.append((ids[a], ids[b]))
             flag[own] = 0
-        return pa.table(list(map(list, zip(*out, strict=True))) or [[], []], schema=schema)
+        return _links(out)
 
     return compare
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, k: int = K, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row; threshold is in hundredths of the Jaccard similarity."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_sketches(width, k), "doc_id long, n long, digest binary, sketch array<long>"), "sketches")
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sets = stored(sets, "sets")
-    value = sets.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+def retained_lists(sets: DataFrame, threshold: int, k: int) -> DataFrame:
+    """node, value for the values in a set's prefix that another set's prefix holds too. sets: node, n, sketch."""
+    value = sets.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     frequent = value.groupBy("value").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    shared = value.join(frequent, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("many", "value"))).alias("of"))
+    shared = value.join(frequent, "value").groupBy("node").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("many", "value"))).alias("of"))
     first = F.col("size") - least_overlap(F.col("n"), threshold / 100, k) + 1 - (F.col("size") - F.size("of"))
-    lists = stored(shared.select("rep", F.explode(F.slice("of", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("v")).select("rep", "v.value"), "lists")
-    hub = lists.groupBy("value").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    groups = components(lists.join(hub, "value").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    dealt = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.select(F.col("node").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            made = [s.tobytes() for s in shingle_sets(_texts(batch.column("text")), width)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "component", "blocks", "block")), pa.array(made, pa.binary())], names=["doc_id", "component", "blocks", "block", "set"])
+    lists = stored(shared.select("node", F.explode(F.slice("of", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("v")).select("node", "v.value"), "prefixes")
+    several = lists.groupBy("value").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("value")
+    out = stored(lists.join(several, "value").select("node", "value"), "lists")
+    discard(lists)
+    return out
+
+
+def hub_links(lists: DataFrame, full: DataFrame, threshold: int, block: int) -> DataFrame:
+    """Links of each set with its hub."""
+    hub = lists.groupBy("value").agg(F.min("node").alias("hub"))
+    shared = lists.join(hub, "value").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("many"))
+    chosen = stored(shared.groupBy("node").agg(F.max_by("hub", "many").alias("hub")), "chosen")
+    blocks = chosen.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = chosen.join(blocks, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    dealt = dealt.union(blocks.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    links = stored(full.join(dealt, "node").groupBy("hub", "block").applyInArrow(_to_hub(threshold), "a long, b long"), "links")
+    discard(chosen)
+    return links
+
+
+def remaining_links(lists: DataFrame, full: DataFrame, united: DataFrame, threshold: int, k: int, block: int) -> DataFrame | None:
+    """Links between sets that share a list and are not united yet; None if there are no such lists."""
+    placed = lists.join(united.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    mixed = placed.groupBy("value").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("value", "least")
+    rest = stored(placed.join(mixed, "value").select("node", "class", "least").distinct(), "rest")
+    if rest.isEmpty():
+        discard(rest)
+        return None
+    groups = components(rest.select(F.col("class").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    members = stored(rest.select("node", "class").distinct().join(groups, "class").join(full.select("node", "n"), "node"), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / SHINGLES)).cast("int").alias("blocks")
+    own = members.groupBy("group", "class").agg(blocks)
+    # large classes have blocks of their own, all others of a group share the blocks of class -1
+    large = own.where("blocks > 1")
+    pooled = members.join(large.select("class"), "class", "left_anti").groupBy("group").agg(blocks).select("group", F.lit(-1).cast("long").alias("c"), "blocks")
+    of = pooled.union(large.select("group", F.col("class").alias("c"), "blocks"))
+    every = of.select("group", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("group", F.struct("c", "i").alias("p"))
+    pairs = every.join(every.select("group", F.col("p").alias("q")), "group").where((F.col("p") <= F.col("q")) & ((F.col("p.c") != F.col("q.c")) | (F.col("p.c") == -1)))
+    side = lambda k, at: pairs.select("group", "p", "q", F.lit(k).alias("side"), F.col(f"{at}.c").alias("c"), F.col(f"{at}.i").alias("i"))
+    sides = side(0, "p").union(side(1, "q").where("p <> q"))
+    dealt = members.join(large.select("class", F.col("blocks").alias("own")), "class", "left").join(pooled.select("group", F.col("blocks").alias("shared")), "group", "left")
+    c, i = F.when(F.col("own").isNull(), -1).otherwise(F.col("class")).cast("long"), F.when(F.col("own").isNull(), F.pmod(F.xxhash64("class"), "shared")).otherwise(F.pmod(F.xxhash64("node"), "own")).cast("int")
+    dealt = dealt.select("node", "class", "group", c.alias("c"), i.alias("i")).join(sides, ["group", "c", "i"]).select("node", "class", "group", "p", "q", "side")
+    links = stored(full.join(dealt, "node").groupBy("group", "p", "q").applyInArrow(_pairs(threshold, k), "a long, b long"), "links")
+    discard(rest, members)
+    return links
 
-    whole = docs.join(dealt.hint("merge"), "doc_id").select("doc_id", "component", "blocks", "block", "text").mapInArrow(full, "doc_id long, component long, blocks int, block int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = whole.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    links = stored(tasks.groupBy("component", "i", "j").applyInArrow(_pairs(threshold, k), "a long, b long"), "links")
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, k: int = K, block: int = BLOCK) -> DataFrame:
+    """doc_id, tag, n_shingles, component_id, kept, first for each row; threshold is in hundredths of the Jaccard similarity.
+
+    kept: the id is the component's; first: the row is its component's first by (doc_id, tag)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
+    rows = stored(docs.mapInArrow(_sketches(width, k), "doc_id long, tag long, n long, digest binary, sketch array<long>"), "sketches")
+    sets = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    lists = retained_lists(sets, threshold, k)
+    wanted = lists.select("node").distinct().join(sets.select("node", "n", "head.doc_id", "head.tag"), "node")
+    full = stored(docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "n", "text").mapInArrow(_full(width), "node long, n long, set binary"), "full")
+    links = hub_links(lists, full, threshold, block)
     found = components(links)
-    classes = sets.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("of"))
-    out = rows.drop("sketch").join(classes, "digest", "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("of")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    more = remaining_links(lists, full, found, threshold, k, block)
+    if more is not None:
+        united, found = found, components(links.union(more))
+        discard(united, more)
+    discard(links, lists, full)
+    heads = found.join(sets.select("node", "head"), "node")
+    heads = heads.join(heads.groupBy("component").agg(F.min("head").alias("of")), "component").select("node", "of")
+    classes = sets.select("digest", "node", "head").join(heads, "node", "left").select("digest", F.coalesce("of", "head").alias("of"))
+    out = rows.drop("sketch").withColumn("digest", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest"))).join(classes, "digest", "left")
+    own = F.struct("doc_id", "tag")
+    component = F.coalesce("of.doc_id", "doc_id")
+    return out.select("doc_id", "tag", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("of", own).eqNullSafe(own).alias("first"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=85).select("doc_id", "n_shingles", "component_id", "kept")

@@ -194,6 +194,36 @@ def test_lm(spark, docs, block):
     assert held.score.sum() > 0.9 * held.base_score.sum()
 
 
+def test_lm_score(spark, docs, monkeypatch):
+    """Scores against deleted interpolation with plain dictionaries and the learnt weights; probabilities sum to 1."""
+    learnt = []
+    learn = lm_scoring.learn_weights
+    monkeypatch.setattr(lm_scoring, "learn_weights", lambda *a: learnt.append(learn(*a)) or learnt[0])
+    texts = list(zip(docs.doc_id.tolist(), docs.text))[:300]
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), block=50_000).collect()}
+    streams = {i: [None, *words(t), b" "] for i, t in texts}
+    train = [s for i, s in streams.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one = Counter(w for s in train for w in s)
+    two = Counter(p for s in train for p in zip(s, s[1:]))
+    n, v = sum(c for w, c in one.items() if w is not None), len(one) - 1
+
+    def p(h, w):
+        a = learnt[0][min(int(math.log2(one[h])) + 1, lm_scoring.BUCKETS - 1) if one[h] else 0]
+        return a[0] / (v + 1) + a[1] * one[w] / n + a[2] * two[h, w] / max(1, one[h])
+
+    for i, s in streams.items():
+        assert got[i] == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(s, s[1:])), rel=1e-9)
+    for h in (None, b"the", b"never seen", train[0][1]):
+        assert sum(p(h, w) for w in one if w is not None) + p(h, "unknown") == pytest.approx(1)
+
+
+def test_lm_large_counts():
+    """Totals beyond 32 bits come back whole."""
+    schema = {"range": [0, 0, 0], "block": [0, 3, 6], "role": [0, 0, 0], "keys": [lm_scoring._planes(np.array([5], np.uint64))] * 3, "counts": [lm_scoring._planes(np.array([4_000_000_000], "<u4"))] * 3}
+    back = lm_scoring._counted(lm_scoring.pa.table(schema))
+    assert [int(lm_scoring._numbers(x, "<u8")[0]) for x in back.column("total").to_pylist()] == [12_000_000_000] * 3
+
+
 def test_lm_odd(odd, none):
     rows = lm_scoring.score_documents(odd).collect()
     want = sorted(((i is None, i or 0, n, known, total) for i, _, n, known, total, _ in lm_base(ROWS)))
@@ -228,15 +258,44 @@ def test_language_odd(spark, odd, none):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.learn(train.where("lang = 'zz'"))).collect()} == {"und"}
 
 
-def test_language_filter():
-    """No n-gram of a language is missed, and few others are found."""
-    import pandas as pd
-
+@pytest.mark.parametrize("many", [2, 64, 70, 130])
+def test_language_filter(many):
+    """No n-gram of a language is missed, and few others are found, however many languages there are."""
     rng = np.random.default_rng(1)
-    gram, mask = rng.integers(-(2**62), 2**62, 50_000), rng.integers(1, 4, 50_000)
-    found = language_id.Filter(["a", "b"], pd.DataFrame({"gram": gram, "mask": mask}), "a")
-    assert (found.hits(gram.view(np.uint64)) & mask.astype(np.uint8) == mask).all()
-    assert (found.hits(rng.integers(0, 2**62, 50_000).view(np.uint64)) > 0).mean() < 0.01
+    gram = rng.integers(-(2**62), 2**62, 20_000)
+    pairs = pd.DataFrame({"gram": np.concatenate([gram, gram]), "k": rng.integers(0, many, 40_000)})
+    found = language_id.Filter([f"l{i:03}" for i in range(many)], pairs, "l000")
+    hits = found.hits(pairs.gram.to_numpy().view(np.uint64))
+    assert all(found._bit(hits, k)[pairs.k == k].all() for k in range(many))
+    others = found.hits(rng.integers(0, 2**62, 50_000).view(np.uint64))
+    assert (others > 0).any(0).mean() < 0.01
+
+
+def test_language_exact(spark, docs):
+    """The learnt sets and the predictions against exact sets of n-grams."""
+    train = docs[np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in docs.doc_id]) & docs.lang.notna()]
+    counts = {lang: Counter() for lang in sorted(train.lang.unique())}
+    for text, lang in zip(train.text, train.lang):
+        counts[lang].update(language_id.grams((text or "").lower().split())[1].tolist() if text and text.split() else [])
+    sets = {lang: {g for g, n in c.items() if n >= language_id.MIN_RATE * sum(c.values())} for lang, c in counts.items()}
+    found = language_id.learn(spark.createDataFrame(train[["lang", "text"]]))
+    assert found.langs == list(sets)
+    for k, lang in enumerate(sets):
+        assert found._bit(found.hits(np.array(sorted(sets[lang]), np.uint64)), k).all()
+    texts = [t for t in docs.text if t and any(c.isalpha() for c in t)]
+    names, scores = found.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        grams = language_id.grams(text.lower().split())[1].tolist()
+        hits = {lang: sum(g in s for g in grams) for lang, s in sets.items()}
+        most, total = max(hits.values()), max(1, sum(hits.values()))
+        assert hits[name] >= 0.99 * most and score == pytest.approx(hits[name] / total, abs=0.02)
+    assert found.predict(["", "123 456"])[0] == ["und", "und"]
+
+
+def test_language_ties():
+    pairs = pd.DataFrame({"gram": np.repeat(language_id.grams(["ab"])[1].view(np.int64), 2), "k": [1, 0] * len(language_id.grams(["ab"])[1])})
+    names, scores = language_id.Filter(["aa", "bb"], pairs, "bb").predict(["ab ab", "xyz"])
+    assert names == ["aa", "bb"] and scores[0] == pytest.approx(0.5, abs=1e-6) and scores[1] == 0
 
 
 # ---- 5 and 6
@@ -347,6 +406,38 @@ def test_minhash_nested(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_minhash_chains(spark):
+    """Families whose members link with some others only, with classes larger than a block: components as by brute force."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(6):
+        text = [f"f{family}w{i}" for i in range(120)]
+        for k in range(40):
+            for _ in range(2 if k % 4 == 0 else 0):
+                text[rng.randrange(120)] = f"f{family}n{k}"
+            copy = list(text)
+            copy[rng.randrange(120)] = f"x{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets, links = brute_sets(rows, 3, 85)
+    labels = components(len(rows), links)
+    assert 6 < len(set(labels)) < 200
+    for block in (4, 256):
+        got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, threshold=85, block=block).collect()}
+        assert [got[i] for i, _ in rows] == [labels.index(c) for c in labels]
+
+
+def test_minhash_repeated_ids(spark):
+    """Rows that share an id and differ in text are documents of their own: the unique one is first of its component."""
+    other = "Nobody had ever seen this text before the day when it was found behind the old mill, under a heap of stones."
+    rows = [(3, CLEAN), (9, CLEAN), (9, other), (9, other), (12, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    joined = minhash_dedup.near_duplicates(docs).join(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").distinct(), ["doc_id", "tag"])
+    got = sorted((r.doc_id, r.text or "", r.component_id, r.first) for r in joined.collect())
+    assert got == sorted([(3, CLEAN, 3, True), (9, CLEAN, 3, False), (9, other, 9, True), (9, other, 9, True), (12, "", 12, True)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(3, CLEAN), (9, other), (9, other), (12, "")])
+
+
 def test_minhash_odd(odd, none):
     rows = [(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(odd).collect()]
     assert {(1, 1, True), (5, 1, False), (2, 2, True), (3, 3, True), (None, None, True)} <= set(rows)
@@ -408,12 +499,31 @@ def test_pii(docs):
         assert set(base) <= set(spans)
 
 
+def test_pii_precision_and_recall(docs):
+    """Rewritten entities and harmless numbers planted in held-out texts: whole spans, found and right."""
+    texts = [t for t in docs.text if any(c.isdigit() for c in t)]
+    weights, rng = pii.train(texts[: len(texts) // 2]), random.Random(99)
+    right = found = planted = touched = harmless = 0
+    for text in texts[len(texts) // 2 :]:
+        spans = pii.base_spans(text)
+        for _ in range(2 if spans else 0):
+            body, gold = pii._changed(text, spans, rng, False)
+            got = set(pii.spans_of(body, weights)[1])
+            inside = {s for s in got if any(a < s[2] and s[1] < b for _, a, b in gold)}
+            right, found, planted = right + len(inside & set(gold)), found + len(got), planted + len(gold)
+            body, _ = pii._changed(text, spans, rng, True)
+            harmless, touched = harmless + len(spans), touched + len(pii.spans_of(body, weights)[1])
+    assert planted > 50 and right / planted > 0.9 and right / found > 0.9 and touched / harmless < 0.05
+    for text in ("See ISBN 978-3-16-148410-0 for more.", "The address 2001:db8:85a3:0:0:8a2e:0370:7334 is in use.", "At 2024-03-01T12:30:45 it began."):
+        assert pii.spans_of(text, weights)[1] == [], text
+
+
 def test_decode_is_best(docs):
     """The dynamic program against all segmentations of a short window."""
     rng = np.random.default_rng(6)
     window = pii.Window("a 1234 56 78 90 b", 0, 17)
     weights = rng.normal(0, 1, (4, len(pii._NAMES)))
-    scores = pii._scores(window, weights).max(1)
+    scores = pii.Sparse(window.features).scores(weights).max(1)
 
     def best(at):
         if at == len(window.tokens):
