@@ -141,8 +141,8 @@ def counts_apart(a: Column, b: Column) -> Column:
 def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """doc_id, tag, line_no, line, h1, h2 for the lines that count; two 64-bit hashes name a line, id and tag its row."""
     text = F.col(text_col).cast("string")
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), row_tag(text).alias("tag"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    lines = lines.select("doc_id", "tag", "line_no", F.btrim("raw", F.lit(SPACES)).alias("line")).where(F.length("line") >= min_chars)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), row_tag(text).alias("tag"), F.split(text, "\n", -1).alias("raw"))  # the digest before the lines, once a text
+    lines = rows.select("doc_id", "tag", F.posexplode_outer("raw").alias("line_no", "raw")).select("doc_id", "tag", "line_no", F.btrim("raw", F.lit(SPACES)).alias("line")).where(F.length("line") >= min_chars)
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
