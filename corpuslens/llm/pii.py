@@ -7,7 +7,8 @@ chooses boundaries and kinds jointly. Its spans that touch no base span are adde
 
 The field is trained here: base spans of a bounded sample of documents (SAMPLE, smallest hashes of their ids) are its
 positive segments, also rewritten into forms that the patterns miss (spelled-out or spaced addresses, numbers without
-prefix, defanged dots), and everything else in the windows is negative.
+prefix, defanged dots), and everything else in the windows is negative, harmless numbers in their places among it. One
+task fits it, as the sample is bounded; the driver gets the weights alone.
 
 Defined results: null texts are empty and have no spans; a sample without spans gives a field that adds nothing; equal texts
 have equal spans; an empty table gives an empty result; null ids pass through; other columns are ignored.
@@ -19,6 +20,7 @@ import functools
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import table
+from ._io import smallest, table
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Documents whose base spans train the field, tokens in a segment, tokens kept on either side of a trigger, and first tokens scored at a time.
@@ -91,9 +93,17 @@ _TRIGGER = re.compile(r"[0-9]|@|[\[(]\s?(?:at|dot)\s?[\])]")
 _SPELLED = re.compile(r"\bat [\w-]+ dot [^\W\d_]")
 _CUES = ["address", "call", "card", "contact", "email", "fax", "host", "ip", "mail", "mobile", "phone", "reach", "server", "tel"]
 _SEPARATORS = ".-/ ()[]+@:,_"
+# Common last parts of domain names.
+_TOP_LEVEL = frozenset(["com", "org", "net", "edu", "gov", "int", "info", "io", "biz", "eu", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "us", "ca", "jp", "cn", "in", "br", "ru"])
+#: Buckets of hashed shapes: lengths of digit groups and the signs between them.
+SHAPES = 128
+_GROUPS = re.compile(r"[0-9]+")
+_DOT_NEXT = re.compile(r"\s?[\[(]?\s?(?:\.|dot\b)\s?[\])]?\s?[^\W_]")
+_DOT_BEFORE = re.compile(r"(?:[._%+-]|\bdot\b\s?[\])]?\s?)$")
 _NAMES = (
-    ["bias", "adjacent_left", "adjacent_right", "letters_only", "digits_only", "at_word", "dot_word", "dot_at_end", "starts_plus", "starts_bracket", "ends_bracket", "octets", "luhn", "domain", "brackets_even", "local_before_at", "newline"]
+    ["bias", "adjacent_left", "adjacent_right", "letters_only", "digits_only", "at_word", "dot_word", "dot_at_end", "starts_plus", "starts_bracket", "ends_bracket", "octets", "luhn", "domain", "brackets_even", "local_before_at", "newline", "joined_left", "joined_right", "space_in_local", "space_in_domain", "dot_follows", "dot_precedes", "ends_dot", "top_level"]
     + [f"digits_{k}" for k in range(21)] + [f"groups_{k}" for k in range(7)] + [f"sep_{c}" for c in _SEPARATORS] + [f"cue_{c}" for c in _CUES] + [f"tokens_{k}" for k in range(LONGEST + 1)]
+    + [f"shape_{k}" for k in range(SHAPES)]
 )
 _AT = {n: i for i, n in enumerate(_NAMES)}
 
@@ -158,26 +168,38 @@ class Window:
             "domain": at and words[j - 1].isalpha() and 2 <= len(words[j - 1]) <= 6,
             "brackets_even": span.count("(") == span.count(")") and span.count("[") == span.count("]"),
             "local_before_at": at and words[i][0].isalnum() and inner[0] != "at", "newline": "\n" in span,
+            # a sign ties the span to more letters or digits
+            "joined_left": a > 1 and text[a - 1] in "-.:/" and text[a - 2].isalnum(), "joined_right": b + 1 < len(text) and text[b] in "-.:/" and text[b + 1].isalnum(),
         }
         on += [k for k, v in checks.items() if v]
+        if at:
+            sign = next(k for k in range(i, j) if words[k] == "@" or lower[k] == "at")
+            gap = lambda lo, hi: any(self.tokens[k][0] > self.tokens[k - 1][1] and words[k - 1][-1].isalnum() and words[k][0].isalnum() and "dot" not in lower[k - 1 : k + 1] for k in range(lo, hi))
+            on += ["space_in_local"] * gap(i + 1, sign) + ["space_in_domain"] * gap(sign + 2, j) + ["ends_dot"] * (inner[-1] in ("dot", "at")) + ["top_level"] * (inner[-1] in _TOP_LEVEL)
+            if _DOT_NEXT.match(text, b, b + 12):
+                on.append("dot_follows")
+            if _DOT_BEFORE.search(text[max(0, a - 8) : a]):
+                on.append("dot_precedes")
+        elif not any(w[0].isalpha() for w in words[i:j]):
+            on.append(f"shape_{zlib.crc32(_GROUPS.sub(lambda m: str(min(9, len(m[0]))), span).encode()) % SHAPES}")
         on += [f"cue_{w}" for w in lower[max(0, i - 3) : i] if f"cue_{w}" in _AT]
         return [_AT[k] for k in on]
 
-    def matrix(self) -> np.ndarray:
-        """(segments, features), 1 where a feature is on."""
-        return _matrix(self.features)
 
+class Sparse:
+    """Rows of 0 and 1 by the columns that are 1; every row has one."""
 
-def _matrix(features: list[list[int]]) -> np.ndarray:
-    x = np.zeros((len(features), len(_NAMES)))
-    for k, f in enumerate(features):
-        x[k, f] = 1
-    return x
+    def __init__(self, features: list[list[int]]):
+        self.columns = np.array([c for f in features for c in f], np.int32)
+        self.sizes = np.array([len(f) for f in features], np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
 
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """(rows, kinds)"""
+        return np.add.reduceat(weights.T[self.columns], self.starts) if len(self.columns) else np.zeros((0, len(weights)))
 
-def _scores(window: Window, weights: np.ndarray) -> np.ndarray:
-    """(segments, kinds)"""
-    return window.matrix() @ weights.T
+    def add_to(self, gradient: np.ndarray, error: np.ndarray) -> None:
+        np.add.at(gradient.T, self.columns, np.repeat(error, self.sizes, axis=0))
 
 
 def decode(window: Window, weights: np.ndarray, step: int = STEP) -> list[Span]:
@@ -197,9 +219,8 @@ def decode(window: Window, weights: np.ndarray, step: int = STEP) -> list[Span]:
     for first in range(0, n, step):
         last = min(n, first + step)
         segments, features = window.candidates(first, last)
-        scores = _matrix(features) @ weights.T
-        kinds, k = scores.argmax(1).tolist(), 0
-        tops = scores.max(1).tolist()
+        scores = Sparse(features).scores(weights)
+        kinds, tops, k = scores.argmax(1).tolist(), scores.max(1).tolist(), 0
         for i in range(first, last):
             settle(i)
             while k < len(segments) and segments[k][0] == i:
@@ -221,7 +242,7 @@ class Example:
     """A window with its true kind by segment (-1: none), ready for forward and backward sums."""
 
     def __init__(self, window: Window, gold: dict[tuple[int, int], int]):
-        self.x, self.n = window.matrix(), len(window.tokens)
+        self.x, self.n = Sparse(window.features), len(window.tokens)
         self.kind = np.array([gold.get(s, -1) for s in window.segments])
         self.starts, self.ends = np.array([s[0] for s in window.segments]), np.array([s[1] for s in window.segments])
         self.into = [np.flatnonzero(self.ends == j) for j in range(self.n + 1)]
@@ -229,7 +250,7 @@ class Example:
 
     def add_gradient(self, weights: np.ndarray, gradient: np.ndarray) -> None:
         """Adds the gradient of the log likelihood."""
-        scores = self.x @ weights.T
+        scores = self.x.scores(weights)
         total = np.logaddexp.reduce(scores, axis=1)
         ahead, behind = np.zeros(self.n + 1), np.zeros(self.n + 1)
         for j in range(1, self.n + 1):
@@ -241,7 +262,7 @@ class Example:
         error = -np.exp(ahead[self.starts][:, None] + scores + behind[self.ends][:, None] - ahead[self.n])
         true = np.flatnonzero(self.kind >= 0)
         error[true, self.kind[true]] += 1
-        gradient += error.T @ self.x
+        self.x.add_to(gradient, error)
 
 
 def _windows(text: str) -> Iterator[tuple[int, int]]:
@@ -284,6 +305,8 @@ def _harmless(rng: random.Random) -> str:
         f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}", f"{rng.randrange(1, 29)}.{rng.randrange(1, 13)}.{rng.randrange(1900, 2100)}",
         f"{rng.randrange(1, 13)}/{rng.randrange(1, 29)}/{rng.randrange(1900, 2100)}", r(rng.randrange(4, 13)), f"{r(3)},{r(3)},{r(3)}", f"{r(4)}.{r(2)}", f"{r(3)}-{r(2)}", f"v{r(1)}.{r(1)}.{r(2)}.{r(4)}",
         f"{rng.randrange(0, 24):02}:{rng.randrange(0, 60):02}:{rng.randrange(0, 60):02}", f"page {r(4)} at line {r(4)}", "look at that dot there", f"{r(4)} to {r(4)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), r(16)[:-1] + "x",
+        f"ISBN {rng.choice(['978', '979'])}-{r(1)}-{r(2)}-{r(6)}-{r(1)}", f"{r(1)}-{r(3)}-{r(5)}-{rng.choice('0123456789X')}", ":".join(f"{rng.randrange(65536):x}" for _ in range(8)), f"2001:db8::{r(4)}:{r(4)}",
+        f"{rng.randrange(1990, 2030)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}T{rng.randrange(24):02}:{rng.randrange(60):02}:{rng.randrange(60):02}", f"{r(8)}-{r(4)}-{r(4)}-{r(4)}-{r(12)}", f"no. {r(2)}-{r(4)}-{r(3)}", f"({r(4)}) {r(2)}, {r(3)}-{r(3)}",
     ])
 
 
@@ -309,14 +332,15 @@ def train(texts: list[str], most: int = 250, rounds: int = 10, rate: float = 0.3
     """Weights by kind and feature: AdaGrad on the likelihood of windows around at most `most` base spans of each kind,
     each as it is, rewritten, and replaced by harmless text."""
     rng, examples, seen = random.Random(seed), [], [0] * len(KINDS)
-    for text in texts:
-        spans = base_spans(text)
-        if not spans or all(seen[k] >= most for k, _, _ in spans):
+    marked_texts = [(text, spans) for text in texts if (spans := base_spans(text))]
+    copies = max(1, min(6, 600 // max(1, len(marked_texts))))  # few texts are rewritten more often
+    for text, spans in marked_texts:
+        if all(seen[k] >= most for k, _, _ in spans):
             continue
         for kind, _, _ in spans:
             seen[kind] += 1
-        rewritten = [_changed(text, spans, rng, False) for _ in range(3 if any(k == 0 for k, _, _ in spans) else 1)]
-        for body, marked in [(text, spans), *rewritten, _changed(text, spans, rng, True)]:
+        rewritten = [_changed(text, spans, rng, False) for _ in range(copies * (3 if any(k == 0 for k, _, _ in spans) else 1))]
+        for body, marked in [(text, spans), *rewritten, *(_changed(text, spans, rng, True) for _ in range(copies))]:
             for lo, hi in _windows(body):
                 window = Window(body, lo, hi)
                 if len(window.tokens) > 120 or not window.segments:
@@ -364,14 +388,19 @@ def _around(text: str, most: int, margin: int = 150) -> list[str]:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, spans: int = 4) -> np.ndarray:
     """Weights from at most `spans` base spans of each of `sample` documents with a digit; only their surroundings are gathered."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9]") & F.col("id").isNotNull())
-    chosen = docs.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()  # bounded by its parameter
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9]") & F.col("id").isNotNull())
+    chosen = smallest(docs.select("id"), "id", sample).distinct()  # bounded by its parameter
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x for t in batch.column("text").to_pylist() for x in _around(t, spans)], pa.string())], names=["around"])
 
-    return train(sorted(r.around for r in docs.join(F.broadcast(chosen), "id", "left_semi").select("text").mapInArrow(run, "around string").collect()))
+    def fit(rows: pa.Table) -> pa.Table:
+        return pa.table([range(len(KINDS)), train(sorted(rows.column("around").to_pylist())).tolist()], names=["kind", "weights"])
+
+    found = docs.join(F.broadcast(chosen), "id", "left_semi").select("text").mapInArrow(around, "around string")
+    rows = found.groupBy(F.lit(0)).applyInArrow(fit, "kind long, weights array<double>").orderBy("kind").collect()
+    return np.array([r.weights for r in rows]) if rows else train([])
 
 
 def _mapped(docs: DataFrame, weights: np.ndarray | None, id_col: str, text_col: str, make, schema: str) -> DataFrame:
