@@ -8,7 +8,8 @@ model uses the counts of both with those weights:
 
 Documents are dealt into blocks of about BLOCK characters. A block sends each of its distinct n-grams once (64-bit key and
 count, sorted, grouped by key range) to the range's owner and gets back the corpus-wide counts in the same order, so a
-frequent n-gram costs one entry per block, never one per occurrence, and no count table is broadcast or collected.
+frequent n-gram costs one entry per block, never one per occurrence, and no count table is broadcast or collected. Ranges
+follow the number of blocks, so an owner's share stays as large as a block; rows never outnumber a block's n-grams.
 Only a histogram of quantised component probabilities (a fixed number of cells) reaches the driver.
 
 Defined results: null text is empty and has the end token alone; null doc_id is a training document; equal rows are all
@@ -119,7 +120,7 @@ def _counted(batch: pa.Table) -> pa.Table:
     retained = np.bincount(inverse, counts * (role == RETAINED))
     one = (unique & np.uint64(3)) == 1
     ends = np.cumsum([len(k) for k in keys])[:-1]
-    back = [[_planes(x.astype("<u4")) for x in np.split(of[inverse], ends)] for of in (total, retained)]
+    back = [[_planes(x.astype("<u8")) for x in np.split(of[inverse], ends)] for of in (total, retained)]  # a block's counts fit 32 bits, the corpus's may not
     once = lambda x: [int(x), *[0] * (len(keys) - 1)]
     return pa.table([batch.column("range").combine_chunks(), batch.column("block").combine_chunks(), *back, once((one & (total > 0)).sum()), once(total[one].sum()), once(retained[one].sum())], schema=_COUNTED)
 
@@ -164,7 +165,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def aligned(right: pa.Table, column: str) -> np.ndarray:
         right = right.sort_by("range")
-        return np.concatenate([_numbers(x, "<u4") for x in right.column(column).to_pylist()]).astype(float)
+        return np.concatenate([_numbers(x, "<u8") for x in right.column(column).to_pylist()]).astype(float)
 
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
