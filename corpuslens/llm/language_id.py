@@ -28,8 +28,6 @@ from ._io import remainder, table
 
 LONGEST = 4
 MIN_RATE = 1e-5
-#: A language keeps an n-gram only if its rate is at least this share of the highest rate of any language.
-MIN_SHARE = 0.1
 SLOTS, PROBES = 1 << 21, 3
 #: Distinct words looked at together.
 CHUNK = 100_000
@@ -109,16 +107,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """One bit per language in each slot."""
+    """One bit per language in each slot; slots are rows of words where languages outnumber a word's bits.
 
-    def __init__(self, langs: list[str], masks: pd.DataFrame, majority: str | None):
+    pairs: gram and k, the index of a language that contains it."""
+
+    def __init__(self, langs: list[str], pairs: pd.DataFrame, majority: str | None):
         self.langs, self.majority = langs, majority
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= np.dtype(k).itemsize * 8)
-        self.slots = np.zeros(SLOTS, kind)
-        for at in self._probes(masks.gram.to_numpy(np.int64).view(np.uint64)):
-            np.bitwise_or.at(self.slots, at, masks["mask"].to_numpy().astype(kind))
-        filled = np.array([np.count_nonzero(self.slots >> kind(k) & kind(1)) for k in range(len(langs))]) / SLOTS
-        self.false_rate = filled**PROBES
+        self.kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(langs) <= np.dtype(k).itemsize * 8), np.uint64)
+        self.bits = np.dtype(self.kind).itemsize * 8
+        self.slots = np.zeros((max(1, -(-len(langs) // self.bits)), SLOTS), self.kind)
+        k = pairs.k.to_numpy(np.int64)
+        for at in self._probes(pairs.gram.to_numpy(np.int64).view(np.uint64)):
+            np.bitwise_or.at(self.slots, (k // self.bits, at), self.kind(1) << (k % self.bits).astype(self.kind))
+        self.false_rate = np.array([self._bit(self.slots, i).mean() for i in range(len(langs))]) ** PROBES
+
+    def _bit(self, mask: np.ndarray, k: int) -> np.ndarray:
+        """Whether language k is in each mask, words first."""
+        return mask[k // self.bits] >> self.kind(k % self.bits) & self.kind(1)
 
     @staticmethod
     def _probes(gram: np.ndarray) -> list[np.ndarray]:
@@ -126,11 +131,11 @@ class Filter:
         return [((gram + np.uint64(i) * step) % np.uint64(SLOTS)).astype(np.int64) for i in range(PROBES)]
 
     def hits(self, gram: np.ndarray) -> np.ndarray:
-        """The set of languages that contain each n-gram."""
+        """The set of languages that contain each n-gram: (words, grams)."""
         first, *others = self._probes(gram)
-        mask = self.slots[first]
+        mask = self.slots[:, first]
         for at in others:
-            mask &= self.slots[at]
+            mask &= self.slots[:, at]
         return mask
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -141,7 +146,7 @@ class Filter:
             mask, size = self.hits(gram), len(per[lo : lo + CHUNK])
             per[lo : lo + CHUNK, -1] = np.bincount(owner, minlength=size)
             for k in range(len(self.langs)):
-                per[lo : lo + CHUNK, k] = np.bincount(owner, mask >> mask.dtype.type(k) & mask.dtype.type(1), minlength=size)
+                per[lo : lo + CHUNK, k] = np.bincount(owner, self._bit(mask, k), minlength=size)
         sums = np.stack([np.bincount(doc, per[codes, k], minlength=len(texts)) for k in range(per.shape[1])], axis=1)
         seen, total = sums[:, :-1], sums[:, -1:]
         fair = np.maximum((seen - self.false_rate * total) / (1 - self.false_rate), 0)
@@ -157,17 +162,13 @@ def learn(train: DataFrame) -> Filter:
     counts = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = sorted(totals.collect(), key=lambda r: r["lang"])  # one row per language
-    if len(langs) > 64:
-        raise ValueError(f"{len(langs)} languages; a slot has 64 bits")
     if not langs:
-        return Filter([], pd.DataFrame({"gram": np.zeros(0, np.int64), "mask": np.zeros(0, np.int64)}), None)
+        return Filter([], pd.DataFrame({"gram": np.zeros(0, np.int64), "k": np.zeros(0, np.int64)}), None)
     size = F.create_map(*(F.lit(x) for r in langs for x in (r.lang, float(r.total))))
-    bit = F.create_map(*(F.lit(x) for i, r in enumerate(langs) for x in (r.lang, 1 << i if i < 63 else -(1 << 63))))
-    frequent = counts.withColumn("rate", F.col("n") / size[F.col("lang")]).where(F.col("rate") >= MIN_RATE).select("gram", "rate", bit[F.col("lang")].alias("bit"))
-    best = frequent.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("rate", "bit")).alias("of"))
-    masks = best.select("gram", F.aggregate(F.filter("of", lambda x: x["rate"] >= MIN_SHARE * F.col("best")), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"])).alias("mask")).toPandas()
+    place = F.create_map(*(F.lit(x) for i, r in enumerate(langs) for x in (r.lang, i)))
+    pairs = counts.where(F.col("n") >= MIN_RATE * size[F.col("lang")]).select("gram", place[F.col("lang")].alias("k")).toPandas()  # at most 1 / MIN_RATE a language
     counts.unpersist()
-    return Filter([r.lang for r in langs], masks, max(langs, key=lambda r: r.total).lang)
+    return Filter([r.lang for r in langs], pairs, max(langs, key=lambda r: r.total).lang)
 
 
 def identify(docs: DataFrame, found: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
