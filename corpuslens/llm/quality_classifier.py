@@ -1,13 +1,13 @@
 """Operator 7: a quality classifier from trusted positives and unlabelled text (positive-unlabelled learning).
 
-Features are counts over words and lines, and shares of hashed word shapes. The class prior is estimated by the best bin of
+Features are counts over words and lines, and shares of hashed word shapes and of hashed words. The class prior is estimated by the best bin of
 a first positive-against-unlabelled classifier (the least ratio of unlabelled to positive rows above a score, with a
 confidence term); then a linear model minimises the non-negative unbiased risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
-Fitting uses bounded samples, POSITIVES and UNLABELLED documents with the smallest hashes of their ids; only their feature
-rows reach the driver. All documents are scored.
+Fitting uses bounded samples, POSITIVES and UNLABELLED documents with the smallest hashes of their ids; their feature rows
+meet in one task, and the model alone reaches the driver. All documents are scored.
 
 Defined results: null texts count as empty and are scored like any text; rows with null id are never in a sample; without
 positives or unlabelled text all scores are 0.5; equal texts have equal scores; an empty table gives an empty result; other
@@ -26,22 +26,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import remainder, table
+from ._io import remainder, smallest, table
 
 #: Bounds of the samples, in documents.
 POSITIVES, UNLABELLED = 8_000, 16_000
-SHAPES = 64
+#: Buckets of word shapes and of words.
+SHAPES, WORDS = 64, 256
+#: Shrinkage of weights, and of those of word buckets, which are many.
+DECAY, WORD_DECAY = 1e-4, 1e-2
 _DENSE = 14
-WIDTH = 2 * _DENSE + SHAPES
+WIDTH = 2 * _DENSE + SHAPES + WORDS
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _RUNS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
 
 
 def _word(word: str) -> tuple[float, ...]:
-    """Of one distinct word: length, flags, and the bucket of its shape (runs of letters and digits collapsed)."""
-    shape = _RUNS[1].sub("9", _RUNS[0].sub(lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa", word[:64]))
-    return len(word), bool(_SYMBOL.search(word)), word.endswith("!!"), len(word) > 1 and word.isupper(), any(c.isdigit() for c in word), word[-1:] in ".!?", not any(c.isalnum() for c in word), zlib.crc32(shape.encode()) % SHAPES
+    """Of one distinct word: length, flags, and the buckets of its shape (runs of letters and digits collapsed) and of itself."""
+    shape = _RUNS[1].sub("9", _RUNS[0].sub(lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa", word))
+    return len(word), bool(_SYMBOL.search(word)), word.endswith("!!"), len(word) > 1 and word.isupper(), any(c.isdigit() for c in word), word[-1:] in ".!?", not any(c.isalnum() for c in word), zlib.crc32(shape.encode()) % SHAPES, zlib.crc32(word.lower().encode()) % WORDS
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -50,7 +53,7 @@ def features(texts: pa.Array) -> np.ndarray:
     split = pc.ascii_split_whitespace(texts)
     words = split.flatten().dictionary_encode()
     n, distinct = len(texts), words.dictionary.to_pylist()
-    of = np.array([_word(w) for w in distinct], float).reshape(-1, 8)
+    of = np.array([_word(w) for w in distinct], float).reshape(-1, 9)
     code = words.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))
     full = of[code, 0] > 0  # no word comes from the ends of a text
@@ -65,9 +68,8 @@ def features(texts: pa.Array) -> np.ndarray:
     same = np.bincount(doc[1:], (code[1:] == code[:-1]) & (doc[1:] == doc[:-1]), minlength=n) if len(doc) > 1 else np.zeros(n)
     lines = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False)
     dense = np.column_stack([np.log1p(many), many < 20, sums, np.bincount(owner, minlength=n) / at_least, most / at_least, same / at_least, np.minimum(lines / at_least, 1), many == 0])
-    shapes = np.zeros((n, SHAPES))
-    np.add.at(shapes, (doc, of[code, 7].astype(int)), 1)
-    return np.column_stack([dense, dense**2, np.sqrt(shapes / at_least[:, None])])
+    shares = [np.bincount(doc * size + of[code, k].astype(np.int64), minlength=n * size).reshape(n, size) for k, size in ((7, SHAPES), (8, WORDS))]
+    return np.column_stack([dense, dense**2, *(np.sqrt(x / at_least[:, None]) for x in shares)])
 
 
 class Linear:
@@ -83,12 +85,15 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -50, 50)))
 
 
-def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Linear:
+def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 400, rate: float = 0.05) -> Linear:
     """Full-batch Adam on the non-negative risk with the logistic loss; without a prior, on plain positive against unlabelled."""
     both = np.concatenate([positive, unlabelled])
     model = Linear(both.mean(0), both.std(0) + 1e-6)
     p, u = (np.column_stack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones(len(x))]) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
+    decay = np.full(p.shape[1], DECAY)
+    if p.shape[1] == WIDTH + 1:
+        decay[WIDTH - WORDS : WIDTH] = WORD_DECAY
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for t in range(1, rounds + 1):
         zp, zu = p @ w, u @ w
@@ -121,9 +126,79 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def learn(docs: DataFrame, positive: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[Linear | None, float]:
     """docs: unlabelled text; positive: the ids of trusted positives among them."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    first = lambda ids, n: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     trusted = docs.select("doc_id").join(positive.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    samples = first(trusted, positives).select("doc_id", F.lit(1).alias("known")).union(first(docs.select("doc_id"), unlabelled).select("doc_id", F.lit(0)))
+    samples = smallest(trusted, "doc_id", positives).select("doc_id", F.lit(1).alias("known")).union(smallest(docs.select("doc_id"), "doc_id", unlabelled).select("doc_id", F.lit(0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("known"), pa.array(list(features(some.column("text")).astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "known", "x"])
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("known", "ascending"), ("doc_id", "ascending")])
+        known, x = rows.column("known").to_numpy(), rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+        p, u = x[known == 1].astype(float), x[known == 0].astype(float)
+        made = [] if len(p) < 4 or len(u) < 4 else [(prior := class_prior(p, u), _fit(p, u, prior))]
+        return pa.table([[q for q, _ in made], *([list(map(float, getattr(m, c))) for _, m in made] for c in ("mean", "scale", "weight")), [float(m.bias) for _, m in made]], schema=pa.schema([("prior", pa.float64()), *((c, pa.list_(pa.float64())) for c in ("mean", "scale", "weight")), ("bias", pa.float64())]))
+
+    # the samples are bounded by their parameters
+    rows = docs.join(F.broadcast(samples), "doc_id").select("doc_id", "known", "text").mapInArrow(run, "doc_id long, known int, x array<float>")
+    found = rows.groupBy(F.lit(0)).applyInArrow(fit, "prior double, mean array<double>, scale array<double>, weight array<double>, bias double").first()
+    if not found:
+        return None, 0.5
+    model = Linear(np.array(found.mean), np.array(found.scale))
+    model.weight, model.bias = np.array(found.weight), found.bias
+    return model, found.prior
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -50, 50)))
+
+
+def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 400, rate: float = 0.05) -> Linear:
+    """Full-batch Adam on the non-negative risk with the logistic loss; without a prior, on plain positive against unlabelled."""
+    both = np.concatenate([positive, unlabelled])
+    model = Linear(both.mean(0), both.std(0) + 1e-6)
+    p, u = (np.column_stack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones(len(x))]) for x in (positive, unlabelled))
+    w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
+    decay = np.full(p.shape[1], DECAY)
+    if p.shape[1] == WIDTH + 1:
+        decay[WIDTH - WORDS : WIDTH] = WORD_DECAY
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    for t in range(1, rounds + 1):
+        zp, zu = p @ w, u @ w
+        up = p.T @ (sigmoid(zp) - 1) / len(p)  # gradient of R+ on positives
+        down_p, down_u = p.T @ sigmoid(zp) / len(p), u.T @ sigmoid(zu) / len(u)  # of R-
+        if prior is None:
+            g = up + down_u
+        else:
+            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            g = prior * up + (down_u - prior * down_p) if negative >= 0 else prior * down_p - down_u
+        g = g + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    model.weight, model.bias = w[:-1], float(w[-1])
+    return model
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Best bin estimate: half of each sample fits, the other half is ranked."""
+    model = _fit(positive[::2], unlabelled[::2], None)
+    p, u = np.sort(model.margin(positive[1::2])), np.sort(model.margin(unlabelled[1::2]))
+    above_p = 1 - np.searchsorted(p, p, side="left") / len(p)
+    above_u = 1 - np.searchsorted(u, p, side="left") / len(u)
+    slack = lambda n: np.sqrt(np.log(4 / 0.1) / (2 * n))
+    bound = (above_u + slack(len(u)) + slack(len(p))) / above_p
+    best = int(np.argmin(np.where(above_p > 0, bound, np.inf)))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def learn(docs: DataFrame, positive: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[Linear | None, float]:
+    """docs: unlabelled text; positive: the ids of trusted positives among them."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    trusted = docs.select("doc_id").join(positive.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    samples = smallest(trusted, "doc_id", positives).select("doc_id", F.lit(1).alias("known")).union(smallest(docs.select("doc_id"), "doc_id", unlabelled).select("doc_id", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
