@@ -30,9 +30,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup on five words and a similarity of 0.8: the first document of each group stays."""
-    gone = minhash_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """MinHash near-dedup on five words and a similarity of 0.8: the first document of each group stays.
+
+    Rows are named by id and text, so a unique text stays where another row has its id; rows with null id stay."""
+    gone = minhash_dedup.near_duplicates(docs).where("not first").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    named = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_tag"))
+    return named.join(gone.hint("shuffle_hash"), ["_id", "_tag"], "left_anti").select("doc.*")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
