@@ -144,7 +144,7 @@ def learn(docs: DataFrame, positive: DataFrame, id_col: str = "doc_id", text_col
 
     # the samples are bounded by their parameters
     rows = docs.join(F.broadcast(samples), "doc_id").select("doc_id", "known", "text").mapInArrow(run, "doc_id long, known int, x array<float>")
-    found = rows.groupBy(F.lit(0)).applyInArrow(fit, "prior double, mean array<double>, scale array<double>, weight array<double>, bias double").first()
+    found = rows.groupBy().applyInArrow(fit, "prior double, mean array<double>, scale array<double>, weight array<double>, bias double").first()
     if not found:
         return None, 0.5
     model = Linear(np.array(found.mean), np.array(found.scale))
