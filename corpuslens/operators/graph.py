@@ -30,7 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         old, live = live, kept(moved.where(F.col("a") != F.col("b")).select(link.alias("l")).select("l.*").distinct(), "edges")
         discard(old)
     if not moves:
-        return live.select(F.col("a").alias("node"), F.col("a").alias("component"))
+        found = kept(live.select(F.col("a").alias("node"), F.col("a").alias("component")), "components")
+        discard(live)
+        return found
     ends = moves[-1]
     for move in moves[-2::-1]:
         further = ends.select(F.col("node").alias("to"), F.col("to").alias("end"))
