@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
@@ -35,12 +36,29 @@ def sentences(text: Column, longer_than: int) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _SPLIT), lambda x: F.trim(x)), lambda s: F.length(s) > longer_than)
 
 
-def count_patterns(text: Column, patterns: Sequence[str]) -> Column:
-    """Sum of the matches of each pattern on its own."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def certain(pattern: str) -> str:
+    """The longest run of letters and spaces that every match of the pattern holds; empty if none is sure."""
+    bare = re.sub(r"\\.", "()", pattern)
+    bare = re.sub(r"\[[^\]]*\]", "()", bare)
+    while bare != (bare := re.sub(r"\((?!\))[^()]*\)", "()", bare.replace("()", "\0"))):
+        pass
+    if "|" in bare:
+        return ""
+    runs = [m[0][:-1] if bare[m.end() : m.end() + 1] in ("?", "*", "{") else m[0] for m in re.finditer("[a-z ]+", bare)]
+    return max(runs, key=len, default="")
+
+
+def count_patterns(text: Column, patterns: Sequence[str], low: Column | None = None) -> Column:
+    """Sum of the matches of each pattern on its own; a plain search for its certain part spares most texts the pattern. low: lowered(text), made before."""
+    low = lowered(text) if low is None else low
     total = F.lit(0)
     for p in patterns:
-        total = total + F.regexp_count(low, F.lit(p))
+        part, count = certain(p), F.regexp_count(low, F.lit(p))
+        total = total + (F.when(low.contains(part), count).otherwise(0) if part else count)
     return total
 
 
@@ -53,16 +71,19 @@ def phrase_pattern(phrase: str) -> str:
     return _BEFORE + escaped + _AFTER
 
 
-def phrase_signals(text: Column, phrases: Sequence[str]) -> dict[str, Column]:
-    """tortured_count, tortured_density per 1000 words, tortured_unique (distinct surface forms). Phrases are scanned one by one."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + phrase_pattern(p)), 0) for p in phrases)))
+def phrase_signals(text: Column, phrases: Sequence[str], low: Column | None = None) -> dict[str, Column]:
+    """tortured_count, tortured_density per 1000 words, tortured_unique (distinct surface forms). Phrases are scanned one by one,
+    where the text has them at all. low: lowered(text), made before."""
+    low, none = lowered(text) if low is None else low, F.array().cast("array<string>")
+    surfaces = lambda p: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?i)" + phrase_pattern(p)), 0)
+    found = F.flatten(F.array(*(F.when(low.contains(p.lower()), surfaces(p)).otherwise(none) for p in phrases)))
     count = F.size(found)
     return {"tortured_count": count.cast("long"), "tortured_density": per_thousand(count, n_words(text)), "tortured_unique": F.size(F.array_distinct(found)).cast("long")}
 
 
-def boilerplate(text: Column, patterns: Sequence[str] = V.STOCK_SENTENCES) -> dict[str, Column]:
+def boilerplate(text: Column, patterns: Sequence[str] = V.STOCK_SENTENCES, low: Column | None = None) -> dict[str, Column]:
     """T2."""
-    count = count_patterns(text, patterns)
+    count = count_patterns(text, patterns, low)
     return {"boilerplate_count": count.cast("long"), "boilerplate_density": per_thousand(count, n_words(text))}
 
 
@@ -113,8 +134,19 @@ def uniformity(text: Column) -> dict[str, Column]:
     return {"sentence_length_cv": zero(variation(_lengths(sentences(text, 10)), 3)), "paragraph_length_cv": zero(variation(_lengths(paragraphs), 2)), "vocabulary_diversity": zero(diversity)}
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), 0)
+def tokens(text: Column, low: Column | None = None) -> Column:
+    return F.regexp_extract_all(lowered(text) if low is None else low, F.lit(_TOKEN), 0)
+
+
+def _edged(phrases: Sequence[str]) -> list[str]:
+    return [_BEFORE + p + _AFTER for p in phrases]
+
+
+def prepared(df: DataFrame, text: Column) -> DataFrame:
+    """df with what several signals need, each made once: _low, _tokens, _sorted, _generated."""
+    df = df.withColumn("_low", lowered(text))
+    df = df.withColumns({"_tokens": tokens(text, F.col("_low")), "_generated": count_patterns(text, _edged(V.GENERATED), F.col("_low"))})
+    return df.withColumn("_sorted", F.sort_array("_tokens"))
 
 
 def _once(sorted_tokens: Column) -> Column:
@@ -123,22 +155,21 @@ def _once(sorted_tokens: Column) -> Column:
     return F.size(F.filter(sorted_tokens, alone))
 
 
-def generated_signals(text: Column, token_column: Column, sorted_column: Column) -> dict[str, Column]:
-    """T6. token_column: tokens(text); sorted_column: the same sorted; both materialised as columns before."""
+def generated_signals(text: Column) -> dict[str, Column]:
+    """T6, on a frame that prepared() made."""
+    token_column, sorted_column, low, generated = map(F.col, ("_tokens", "_sorted", "_low", "_generated"))
     n = F.size(token_column)
     enough = (F.length(F.coalesce(text, F.lit(""))) >= 100) & (n > 0)
     zero = lambda c: F.when(enough, c).otherwise(0.0)
     first = F.slice(token_column, 1, 1000)
     lengths = _lengths(sentences(text, 5))
     total = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x)
-    edged = lambda phrases: [_BEFORE + p + _AFTER for p in phrases]
-    generated = count_patterns(text, edged(V.GENERATED))
     return {
         "ai_vocab_diversity": zero(F.size(F.array_distinct(first)) / F.size(first)),
         "ai_hapax_ratio": zero(_once(sorted_column) / F.size(F.array_distinct(sorted_column))),
         "ai_sentence_uniformity": zero(F.when(F.size(lengths) >= 3, F.greatest(F.lit(0.0), 1 - variation(lengths, 3))).otherwise(0.0)),
         "ai_mean_sentence_length": zero(F.when(F.size(lengths) >= 3, total / F.size(lengths)).otherwise(0.0)),
-        "ai_discourse_density": zero(count_patterns(text, edged(V.DISCOURSE)) / n * 1000),
+        "ai_discourse_density": zero(count_patterns(text, _edged(V.DISCOURSE), low) / n * 1000),
         "ai_phrase_count": F.when(enough, generated).otherwise(0).cast("long"),
         "ai_phrase_density": zero(generated / n * 1000),
         "ai_mean_word_length": zero(F.aggregate(token_column, F.lit(0.0), lambda a, t: a + F.length(t)) / n),

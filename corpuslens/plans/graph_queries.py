@@ -10,6 +10,7 @@ from ..functions.text import steady
 from ..operators import graph as G
 from ..operators import models, scoring
 from ..operators import similarity as N
+from ..operators.storage import spread
 from .table_queries import labelled, read
 from .text_queries import PATTERNS, PHRASES, W, q, r
 
@@ -58,11 +59,12 @@ def author_pools(spark: SparkSession, d: str) -> DataFrame:
     return G.author_pools(edges(spark, d))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT l_orderkey % 500 AS src, l_partkey % 600 AS dst FROM lineitem), i AS (SELECT * FROM c WHERE dst < 500),
+@query(f"""WITH c AS (SELECT DISTINCT l_orderkey AS src, l_orderkey + l_partkey % 9 - 4 AS dst FROM lineitem), i AS (SELECT * FROM c WHERE dst IN (SELECT l_orderkey FROM lineitem)),
 x AS (SELECT a.src AS node, {r('count(b.src)::DOUBLE / count(*)')} AS ring_score FROM i a LEFT JOIN i b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
-SELECT node, coalesce(ring_score, 0.0) AS ring_score FROM (SELECT DISTINCT l_orderkey % 500 AS node FROM lineitem) LEFT JOIN x USING (node)""")
+SELECT node, coalesce(ring_score, 0.0) AS ring_score FROM (SELECT DISTINCT l_orderkey AS node FROM lineitem) LEFT JOIN x USING (node)""")
 def citation_ring(spark: SparkSession, d: str) -> DataFrame:
-    cites = read(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("src"), (F.col("l_partkey") % 600).alias("dst"))
+    """Orders as papers; each line cites an order nearby."""
+    cites = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_orderkey") + F.col("l_partkey") % 9 - 4).alias("dst"))
     return G.citation_ring(cites.select(F.col("src").alias("node")), cites)
 
 
@@ -152,8 +154,8 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
     made = T.boilerplate(F.col("text"), PATTERNS) | T.uniformity(F.col("text"))
-    df = read(spark, d, "documents").withColumn("_t", T.tokens(F.col("text"))).withColumn("_s", F.sort_array("_t"))
-    made |= T.generated_signals(F.col("text"), F.col("_t"), F.col("_s"))
+    df = T.prepared(spread(read(spark, d, "documents")), F.col("text"))
+    made |= T.generated_signals(F.col("text"))
     return df.select("doc_id", *(made[c].alias(c) for c in COLUMNS if c in made)).join(labelled(spark, d).select("doc_id", "source", "n_chars", "quality"), "doc_id").withColumn("bad", 1 - F.col("quality"))
 
 
@@ -164,7 +166,7 @@ def ensemble_oof(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def predict_pu(spark: SparkSession, d: str) -> DataFrame:
-    return models.predict(_training(spark, d), "bad", "doc_id", COLUMNS, trees=10, boosts=5).select("doc_id", "probability_raw", "label_frequency", "probability", "flagged")
+    return models.predict(_training(spark, d), "bad", "doc_id", COLUMNS, folds=3, trees=10, boosts=5).select("doc_id", "probability_raw", "label_frequency", "probability", "flagged")
 
 
 @query()

@@ -135,11 +135,12 @@ def income_prevalence(spark: SparkSession, d: str) -> DataFrame:
     return S.by_group(df.where("income_group <> 'Unknown'"), "income_group", "score", least=20)
 
 
-@query(f"""WITH v(id, every) AS (VALUES {', '.join(f'({i}, {q(c)})' for i, c in enumerate(_CODES))}), p AS (SELECT id, trim(split_part(every, ';', 1)) AS code, len(list_filter(string_split(every, ';'), lambda x: trim(x) <> '')) AS n FROM v)
+@query(f"""WITH v AS (SELECT c_custkey AS id, [{', '.join(map(q, _CODES))}][c_custkey % {len(_CODES)} + 1] AS every FROM customer), p AS (SELECT id, trim(split_part(every, ';', 1)) AS code, len(list_filter(string_split(every, ';'), lambda x: trim(x) <> '')) AS n FROM v)
 SELECT id, code AS primary_country, CASE {_region} ELSE 'Unknown' END AS who_region, CASE {_income} ELSE 'Unknown' END AS income_group, n::DOUBLE AS geo_n_countries, (n > 1)::INTEGER::DOUBLE AS geo_is_international,
 (CASE {_region} ELSE 'Unknown' END = 'WPR')::INTEGER::DOUBLE AS geo_region_WPR, (CASE {_income} ELSE 'Unknown' END = 'HIC')::INTEGER::DOUBLE AS geo_income_HIC FROM p""")
 def geo_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, None, c) for i, c in enumerate(_CODES)], "id int, corresponding_countries string, all_countries string")
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("c_custkey") % len(_CODES) + 1).cast("int"))
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("corresponding_countries"), code.alias("all_countries"))
     out = R.geography_features(R.with_geography(rows))
     return out.select("id", "primary_country", "who_region", "income_group", "geo_n_countries", "geo_is_international", "geo_region_WPR", "geo_income_HIC")
 

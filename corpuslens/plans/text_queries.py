@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -10,31 +10,23 @@ from ..functions import records as R
 from ..functions import text as T
 from ..functions.text import steady
 from ..operators import scoring, stats
+from ..operators.storage import spread
 
 PHRASES = ["of the", "in the", "to be", "that is", "licensed under the", "idiot"]
 PATTERNS = [*V.STOCK_SENTENCES, r"the [a-z]+ of", "licensed under", "all rights reserved"]
 ROLES = {"background": "^(?:the|le|la|der|el)", "objective": "^(?:to|de|zu)", "methods": "^(?:of|in|en)", "results": "^(?:an|er|es)", "conclusion": "^(?:th|on|un)"}
 HEADINGS = [
-    (1, ["1. Introduction", "2. Methods", "2.1 Dataset", "2.2 Proposed Method", "2.3 Statistical Analysis", "3. Results", "4. Discussion", "5. Conclusion"]),
-    (2, ["Background", "Materials and Methods", "Findings", "Limitations", "Summary"]),
-    (3, ["Introduction", "Methods", "Methods", "Results", "Discussion"]),
-    (4, ["Abstract", "Our results in brief"]),
-    (5, []),
-]
-ARTICLES = [
-    (1, [("2. Methods", "We count words."), ("Results", "There are ten.")], "We count words. There are ten."),
-    (2, [("Intro", "Nothing here.")], "abcdefghij" * 30),
-    (3, [("Study design and data", "A plan."), ("Participants", "All of us.")], ""),
-    (4, [], "short"),
+    ["1. Introduction", "2. Methods", "2.1 Dataset", "2.2 Proposed Method", "2.3 Statistical Analysis", "3. Results", "4. Discussion", "5. Conclusion"],
+    ["Background", "Materials and Methods", "Findings", "Limitations", "Summary"],
+    ["Introduction", "Methods", "Methods", "Results", "Discussion"],
+    ["Abstract", "Our results in brief"],
+    [],
 ]
+SECTIONS = ["Intro", "2. Methods", "Results", "Study design and data", "Participants", "Other", "Notes"]
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: steady(F.col(c)) for c in columns})
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def text_uniformity(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +63,8 @@ def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ai_text_features(spark: SparkSession, d: str) -> DataFrame:
-    df = docs(spark, d).withColumn("tokens", T.tokens(F.col("text"))).withColumn("ordered", F.sort_array("tokens"))
-    made = T.generated_signals(F.col("text"), F.col("tokens"), F.col("ordered"))
+    df = T.prepared(docs(spark, d), F.col("text"))
+    made = T.generated_signals(F.col("text"))
     return df.select("doc_id", *((c if k == "ai_phrase_count" else steady(c)).alias(k) for k, c in made.items()))
 
 
@@ -80,15 +72,23 @@ def abstract_template(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", steady(T.template_score(F.col("text"), ROLES)).alias("template_score"))
 
 
+def _lines() -> Column:
+    return F.split(F.coalesce("text", F.lit("")), "\n", -1)
+
+
 def section_structure(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(HEADINGS, "id int, headings array<string>")
+    """A list of headings by the document's number, and the starts of its first lines."""
+    given = F.element_at(F.array(*(F.array(*map(F.lit, h)).cast("array<string>") for h in HEADINGS)), (F.col("doc_id") % len(HEADINGS) + 1).cast("int"))
+    rows = docs(spark, d).select("doc_id", F.concat(given, F.transform(F.slice(_lines(), 1, 3), lambda x: F.substring(x, 1, 30))).alias("headings"))
     made = T.section_signals(F.col("headings"))
-    return rows.select("id", made["has_standard_imrad"].alias("has_standard_imrad"), made["section_count"].alias("section_count"), steady(made["standard_section_fraction"]).alias("standard_section_fraction"))
+    return rows.select("doc_id", made["has_standard_imrad"].alias("has_standard_imrad"), made["section_count"].alias("section_count"), steady(made["standard_section_fraction"]).alias("standard_section_fraction"))
 
 
 def methods_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(ARTICLES, "id int, sections array<struct<heading:string,text:string>>, body string")
-    return rows.select("id", T.methods_text(F.col("sections"), F.col("body")).alias("methods"))
+    """Each line of a document as a section, with a heading by its place."""
+    name = lambda i: F.element_at(F.array(*map(F.lit, SECTIONS)), ((F.col("doc_id") + i) % len(SECTIONS) + 1).cast("int"))
+    sections = F.transform(_lines(), lambda x, i: F.struct(name(i).alias("heading"), x.alias("text")))
+    return docs(spark, d).select("doc_id", F.md5(T.methods_text(sections, F.coalesce("text", F.lit("")))).alias("methods_md5"))
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -193,8 +193,8 @@ def _heading_sql(x: str) -> str:
 
 
 _std = "[" + ", ".join(map(q, V.SECTIONS)) + "]"
-_headings = ", ".join(f"({i}, [{', '.join(map(q, h))}]::VARCHAR[])" for i, h in HEADINGS)
-_articles = ", ".join(f"({i}, [{', '.join('{' + f'heading: {q(a)}, body: {q(b)}' + '}' for a, b in s)}]::STRUCT(heading VARCHAR, body VARCHAR)[], {q(body)})" for i, s, body in ARTICLES)
+_headings = "[" + ", ".join(f"[{', '.join(map(q, h))}]::VARCHAR[]" for h in HEADINGS) + f"][doc_id % {len(HEADINGS)} + 1]"
+_sections = f"[{', '.join(map(q, SECTIONS))}]"
 
 ORACLES = {
     "text_uniformity": f"WITH {BASE}, {UNIFORM} SELECT doc_id, {r('sentence_length_cv')} AS sentence_length_cv, {r('paragraph_length_cv')} AS paragraph_length_cv, {r('vocabulary_diversity')} AS vocabulary_diversity FROM u",
@@ -205,12 +205,13 @@ ORACLES = {
 k AS (SELECT doc_id, got, list_filter(got, lambda x: x IS NOT NULL) AS known FROM x)
 SELECT doc_id, {r('''CASE WHEN len(got) >= 3 THEN 0.6 * len(known) / len(got) + 0.4 * CASE WHEN len(known) >= 3
   THEN len(list_filter(range(2, len(known) + 1), lambda i: known[i] >= known[i - 1]))::DOUBLE / (len(known) - 1) ELSE 0.0 END ELSE 0.0 END''')} AS template_score FROM k""",
-    "section_structure": f"""WITH h(id, hs) AS (VALUES {_headings}), n AS (SELECT id, list_transform(hs, lambda x: {_heading_sql('x')}) AS names FROM h),
-f AS (SELECT id, names, list_filter(names, lambda x: list_contains({_std}, x)) AS found, list_filter({_std}, lambda x: list_contains(names, x)) AS expected FROM n)
-SELECT id, found = expected AND len(expected) >= 4 AS has_standard_imrad, len(names) AS section_count, {r('CASE WHEN len(names) > 0 THEN len(found)::DOUBLE / len(names) ELSE 0.0 END')} AS standard_section_fraction FROM f""",
-    "methods_text": rf"""WITH a(id, sections, body) AS (VALUES {_articles}),
-c AS (SELECT id, body, list_filter(sections, lambda s: regexp_matches(regexp_replace(lower(trim(s.heading)), '^\d+[.)]\s*', ''), {q('|'.join(V.METHODS_HEADINGS))})) AS chosen FROM a)
-SELECT id, CASE WHEN len(chosen) > 0 THEN array_to_string(list_transform(chosen, lambda s: s.body), ' ') WHEN length(body) > 200 THEN substr(body, length(body) // 4 + 1, length(body) // 4) ELSE '' END AS methods FROM c""",
+    "section_structure": f"""WITH h AS (SELECT doc_id, {_headings} || list_transform(list_slice(string_split(coalesce(text, ''), chr(10)), 1, 3), lambda x: left(x, 30)) AS hs FROM documents),
+n AS (SELECT doc_id, list_transform(hs, lambda x: {_heading_sql('x')}) AS names FROM h), f AS (SELECT doc_id, names, list_filter(names, lambda x: list_contains({_std}, x)) AS found, list_filter({_std}, lambda x: list_contains(names, x)) AS expected FROM n)
+SELECT doc_id, found = expected AND len(expected) >= 4 AS has_standard_imrad, len(names) AS section_count, {r('CASE WHEN len(names) > 0 THEN len(found)::DOUBLE / len(names) ELSE 0.0 END')} AS standard_section_fraction FROM f""",
+    "methods_text": rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+s AS (SELECT *, list_transform(range(1, len(ls) + 1), lambda i: {{'heading': {_sections}[(doc_id + i - 1) % {len(SECTIONS)} + 1], 'body': ls[i]}}) AS sections FROM a),
+c AS (SELECT doc_id, body, list_filter(sections, lambda s: regexp_matches(regexp_replace(lower(trim(s.heading)), '^\d+[.)]\s*', ''), {q('|'.join(V.METHODS_HEADINGS))})) AS chosen FROM s)
+SELECT doc_id, md5(CASE WHEN len(chosen) > 0 THEN array_to_string(list_transform(chosen, lambda s: s.body), ' ') WHEN length(body) > 200 THEN substr(body, length(body) // 4 + 1, length(body) // 4) ELSE '' END) AS methods_md5 FROM c""",
     "rule_score": f"WITH {BASE}, {BOILER}, {PHRASE}, {GENERATED}, {SCORE} SELECT doc_id, score FROM s",
     "rule_score_by_source": f"""WITH {BASE}, {BOILER}, {PHRASE}, {GENERATED}, {SCORE} SELECT source, count(*) AS n_papers, (count(*) FILTER (score >= 0.25))::BIGINT AS n_flagged,
 {r('avg(score)')} AS mean_prob, {r('(count(*) FILTER (score >= 0.25))::DOUBLE / count(*) * 100')} AS prevalence_pct FROM s WHERE source IS NOT NULL GROUP BY source HAVING count(*) >= 10""",
