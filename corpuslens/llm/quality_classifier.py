@@ -152,69 +152,6 @@ def learn(docs: DataFrame, positive: DataFrame, id_col: str = "doc_id", text_col
     return model, found.prior
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -50, 50)))
-
-
-def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 400, rate: float = 0.05) -> Linear:
-    """Full-batch Adam on the non-negative risk with the logistic loss; without a prior, on plain positive against unlabelled."""
-    both = np.concatenate([positive, unlabelled])
-    model = Linear(both.mean(0), both.std(0) + 1e-6)
-    p, u = (np.column_stack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones(len(x))]) for x in (positive, unlabelled))
-    w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
-    decay = np.full(p.shape[1], DECAY)
-    if p.shape[1] == WIDTH + 1:
-        decay[WIDTH - WORDS : WIDTH] = WORD_DECAY
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for t in range(1, rounds + 1):
-        zp, zu = p @ w, u @ w
-        up = p.T @ (sigmoid(zp) - 1) / len(p)  # gradient of R+ on positives
-        down_p, down_u = p.T @ sigmoid(zp) / len(p), u.T @ sigmoid(zu) / len(u)  # of R-
-        if prior is None:
-            g = up + down_u
-        else:
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            g = prior * up + (down_u - prior * down_p) if negative >= 0 else prior * down_p - down_u
-        g = g + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    model.weight, model.bias = w[:-1], float(w[-1])
-    return model
-
-
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Best bin estimate: half of each sample fits, the other half is ranked."""
-    model = _fit(positive[::2], unlabelled[::2], None)
-    p, u = np.sort(model.margin(positive[1::2])), np.sort(model.margin(unlabelled[1::2]))
-    above_p = 1 - np.searchsorted(p, p, side="left") / len(p)
-    above_u = 1 - np.searchsorted(u, p, side="left") / len(u)
-    slack = lambda n: np.sqrt(np.log(4 / 0.1) / (2 * n))
-    bound = (above_u + slack(len(u)) + slack(len(p))) / above_p
-    best = int(np.argmin(np.where(above_p > 0, bound, np.inf)))
-    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
-
-
-def learn(docs: DataFrame, positive: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[Linear | None, float]:
-    """docs: unlabelled text; positive: the ids of trusted positives among them."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    trusted = docs.select("doc_id").join(positive.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    samples = smallest(trusted, "doc_id", positives).select("doc_id", F.lit(1).alias("known")).union(smallest(docs.select("doc_id"), "doc_id", unlabelled).select("doc_id", F.lit(0)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some = batch.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("known"), pa.array(list(features(some.column("text")).astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "known", "x"])
-
-    # the samples are bounded by their parameters
-    rows = docs.join(F.broadcast(samples), "doc_id").select("doc_id", "known", "text").mapInArrow(run, "doc_id long, known int, x array<float>").orderBy("known", "doc_id").toPandas()
-    p, u = (np.array(rows.x[rows.known == k].tolist(), float) for k in (1, 0))
-    if len(p) < 4 or len(u) < 4:
-        return None, 0.5
-    prior = class_prior(p, u)
-    return _fit(p, u, prior), prior
-
-
 def score(docs: DataFrame, model: Linear | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
