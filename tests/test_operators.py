@@ -160,3 +160,27 @@ def test_lexicon(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"fake forest": "other", "new one": "n"}')
     merged = readers.merged_lexicon(readers.lexicon(spark, str(tmp_path / "a.csv")), readers.lexicon(spark, str(tmp_path / "b.json")))
     assert {tuple(r) for r in merged.collect()} == {("fake forest", "other"), ("new one", "n")}
+
+
+def test_label_columns(spark):
+    """Common names of label tables, in any case; the first of a kind counts."""
+    from corpuslens.operators import labels
+
+    names = ["Article Title", "Journal", "Subject", "Reason", "DOI", "Original PMID", "Date Retracted", "Original Publication Date", "Notes"]
+    df = spark.createDataFrame([("x",) * len(names)], ", ".join(f"`{n}` string" for n in names))
+    assert labels.named(df).columns == ["title", "journal", "subject", "reason", "doi", "pmid", "retraction_date", "original_date", "Notes"]
+
+
+def test_components_of_chains_and_stars(spark):
+    from corpuslens.operators.graph import components
+
+    edges = [(i, i + 1) for i in range(10, 40)] + [(100, i) for i in range(101, 200)] + [(7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 10 for i in range(10, 41)} | {i: 100 for i in range(100, 200)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_certain_part():
+    from corpuslens.functions.text import certain
+
+    assert [certain(p) for p in ("delve into", "it'?s so", "(?:a|b) of cd?", "one|two", "x[ab]{2,3}yz", r"ab\d+cde")] == ["delve into", "s so", " of c", "", "yz", "cde"]
