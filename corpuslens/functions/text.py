@@ -81,6 +81,29 @@ def phrase_signals(text: Column, phrases: Sequence[str], low: Column | None = No
     return {"tortured_count": count.cast("long"), "tortured_density": per_thousand(count, n_words(text)), "tortured_unique": F.size(F.array_distinct(found)).cast("long")}
 
 
+def phrase_rows(df: DataFrame, text: str, lexicon: dict[str, str | None], around: int = 50) -> DataFrame:
+    """df's rows (without the text) once for each match of a phrase: phrase, correction, start, end, context; one scan.
+
+    Places are code points from 0, from the lengths between matches. The context has `around` characters on both sides, line
+    breaks as blanks, without outer blanks, between dots. A text without a match, or null, has no row."""
+    made = F.col(text)
+    kind = F.array().cast("array<struct<phrase:string,correction:string,start:int>>")
+
+    def found(phrase: str, correction: str | None) -> Column:
+        sizes = F.transform(F.split(made, "(?i)" + phrase_pattern(phrase), -1), lambda x: F.length(x))
+        starts = lambda n: F.transform(F.slice(n, 1, F.size(n) - 1), lambda _, i: F.aggregate(F.slice(n, 1, i + 1), F.lit(0), lambda a, y: a + y) + i * len(phrase))
+        places = F.element_at(F.transform(F.array(sizes), starts), 1)
+        rows = F.transform(places, lambda at: F.struct(F.lit(phrase).alias("phrase"), F.lit(correction).cast("string").alias("correction"), at.cast("int").alias("start")))
+        return F.when(F.col("_low").contains(phrase.lower()), rows).otherwise(kind)
+
+    every = F.flatten(F.array(*(found(p, c) for p, c in lexicon.items())))
+    rows = df.withColumn("_low", lowered(made)).withColumn("_m", F.explode(every)).withColumns({c: F.col(f"_m.{c}") for c in ("phrase", "correction", "start")})
+    rows = rows.withColumn("end", F.col("start") + F.length("phrase"))
+    lo = F.greatest(F.col("start") - around, F.lit(0))
+    near = F.trim(F.replace(F.substring(made, lo + 1, F.col("end") + around - lo), F.lit("\n"), F.lit(" ")))
+    return rows.withColumn("context", F.concat(F.lit("..."), near, F.lit("..."))).drop("_low", "_m", text)
+
+
 def boilerplate(text: Column, patterns: Sequence[str] = V.STOCK_SENTENCES, low: Column | None = None) -> dict[str, Column]:
     """T2."""
     count = count_patterns(text, patterns, low)

@@ -123,3 +123,11 @@ def recency(refs: DataFrame, key: str, year: str, cited_year: str, window: int =
 def self_citation(refs: DataFrame, key: str, authors: str, cited_authors: str) -> DataFrame:
     """Share of references that have an author in common with the paper."""
     return refs.groupBy(key).agg(steady(F.avg(F.coalesce(F.arrays_overlap(authors, cited_authors), F.lit(False)).cast("double"))).alias("self_citation_rate"))
+
+
+def paper_citations(refs: DataFrame, key: str, year: str, cited_year: str, journal: str, authors: str, cited_authors: str) -> DataFrame:
+    """References, recency, median_age, hhi, journals, max_share, self_citation_rate of each paper; zeros where a part is missing."""
+    out = refs.groupBy(key).agg(F.count(F.lit(1)).alias("references"))
+    for part in (recency(refs, key, year, cited_year), concentration(refs, key, journal), self_citation(refs, key, authors, cited_authors)):
+        out = out.join(part, key, "left")
+    return out.na.fill(0)

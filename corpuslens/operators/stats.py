@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,26 @@ def overall(df: DataFrame, score: str, threshold: float = 0.5) -> DataFrame:
     return df.agg(F.coalesce(hit, F.lit(0)).alias("n_flagged"), n.alias("n_total"), percent(F.coalesce(hit, F.lit(0)), n).alias("prevalence_pct"))
 
 
+def estimate(df: DataFrame, score: str, threshold: float = 0.5, replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """A1, A4 with B1: overall() with ci_low_pct and ci_high_pct, the 2.5 and 97.5 % points of resampled prevalence.
+
+    A resample of n flags with x hits has a binomial total, so replicates need the two counts only. No rows: null interval."""
+
+    @F.pandas_udf("struct<ci_low_pct:double,ci_high_pct:double>")
+    def interval(n: pd.Series, hits: pd.Series) -> pd.DataFrame:
+        found = [binomial_interval(int(a), int(b), replicates, seed) for a, b in zip(n, hits, strict=True)]
+        return pd.DataFrame(found, columns=["ci_low_pct", "ci_high_pct"]) * 100
+
+    row = overall(df, score, threshold).withColumn("_ci", interval("n_total", "n_flagged"))  # one row
+    points = (F.when(F.col("n_total") > 0, steady(F.col(f"_ci.{c}"), 2)).alias(c) for c in ("ci_low_pct", "ci_high_pct"))
+    return row.select("n_flagged", "n_total", "prevalence_pct", *points)
+
+
+def largest(df: DataFrame, group: str, score: str, threshold: float = 0.5, least: int = 10, most: int = 20) -> DataFrame:
+    """O2: of the groups of by_group() the `most` with most rows (then by name)."""
+    return by_group(df, group, score, threshold, least).orderBy(F.desc("n_papers"), group).limit(most)
+
+
 def by_group(df: DataFrame, group: str, score: str, threshold: float = 0.5, least: int = 10, extra: dict[str, Column] | None = None) -> DataFrame:
     """Groups of at least `least` rows; null groups are dropped; highest prevalence first."""
     hit, n = F.sum(flag(score, threshold).cast("long")), F.count(F.lit(1))

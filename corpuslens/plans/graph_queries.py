@@ -88,13 +88,14 @@ def self_citation(spark: SparkSession, d: str) -> DataFrame:
 
 
 _stop = ", ".join(map(q, N.STOP_WORDS))
-_TFIDF = f"""d AS (SELECT doc_id, text AS t FROM documents WHERE length(trim(coalesce(text, ''))) > 50),
+_tfidf = lambda most, longer: f"""d AS (SELECT doc_id, text AS t FROM documents WHERE length(trim(coalesce(text, ''))) > {longer}),
 w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(t), '[{W}]{{2,}}'), lambda x: x NOT IN ({_stop})) AS w FROM d),
 terms AS (SELECT doc_id, unnest(w || CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END) AS term FROM w),
 c AS (SELECT doc_id AS doc, term, count(*) AS n FROM terms GROUP BY ALL),
-v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT 5000),
+v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1.0 AS idf FROM c GROUP BY term HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT {most}),
 x AS (SELECT doc, term, (1.0 + ln(n::DOUBLE)) * idf AS raw FROM c JOIN v USING (term)),
-wt AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS wt FROM x)"""
+wt AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS wt FROM x)"""
+_TFIDF = _tfidf(5000, 50)
 _COS = "cs AS (SELECT a.doc AS i, b.doc AS j, round(sum(a.wt * b.wt), 9) AS cos FROM wt a JOIN wt b ON a.term = b.term AND a.doc <> b.doc GROUP BY ALL)"
 
 
@@ -117,10 +118,29 @@ def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
     return N.clusters(read(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""WITH {_tfidf(3000, 100)}, {_COS}, f AS (SELECT i AS doc, max(cos) AS best, sum(cos) AS total, count(*) FILTER (cos >= 0.85) AS n_high, count(*) FILTER (cos >= 0.65) AS n_moderate FROM cs GROUP BY i)
+SELECT 'PMC' || doc_id AS pmcid, {r('coalesce(best, 0)')} AS methods_sim_max, {r('coalesce(total / (SELECT count(DISTINCT doc) FROM wt), 0)')} AS methods_sim_mean, coalesce(n_high, 0) AS methods_n_high, coalesce(n_moderate, 0) AS methods_n_moderate, coalesce(n_high, 0) >= 1 AS methods_in_cluster FROM documents LEFT JOIN f ON doc_id = f.doc""")
 def methods_similarity(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents").select(F.concat(F.lit("PMC"), F.col("doc_id")).alias("pmcid"), F.col("text").alias("methods"))
-    return N.methods_similarity(rows)
+    return N.methods_similarity(rows).drop("methods_nearest")
+
+
+@query(f"""WITH RECURSIVE {_tfidf(3000, 100)}, {_COS}, l AS (SELECT i, j FROM cs WHERE cos >= 0.85), reach AS (SELECT DISTINCT i AS node, i AS head FROM l UNION SELECT l.j, reach.head FROM reach JOIN l ON l.i = reach.node),
+h AS (SELECT node, min(head) AS head FROM reach GROUP BY node), k AS (SELECT 'PMC' || node AS pmcid, head FROM h) SELECT pmcid, min(pmcid) OVER (PARTITION BY head) AS cluster, count(*) OVER (PARTITION BY head) AS size FROM k""")
+def methods_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return N.methods_clusters(read(spark, d, "documents").select(F.concat(F.lit("PMC"), F.col("doc_id")).alias("pmcid"), F.col("text").alias("methods")))
+
+
+_REFS = "x AS (SELECT l_orderkey, p_brand, l_suppkey, year(l_shipdate) AS cited, l_suppkey % 7 = l_partkey % 7 OR l_suppkey % 7 = l_linenumber AS own FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)"
+
+
+@query(f"""WITH {_REFS}, a AS (SELECT l_orderkey, count(*) AS "references", avg((2000 - cited <= 2)::INTEGER) FILTER (cited <= 2000) AS recency, quantile_cont(2000 - cited, 0.5) FILTER (cited <= 2000) AS median_age, avg(own::INTEGER) AS self_rate FROM x GROUP BY l_orderkey),
+c AS (SELECT l_orderkey, p_brand, count(*) AS n FROM x WHERE trim(p_brand) <> '' GROUP BY ALL), s AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY l_orderkey) AS share FROM c), h AS (SELECT l_orderkey, sum(share * share) AS hhi, count(*) AS journals, max(share) AS max_share FROM s GROUP BY l_orderkey)
+SELECT l_orderkey, "references", {r('coalesce(recency, 0)')} AS recency, {r('coalesce(median_age, 0)')} AS median_age, {r('coalesce(hhi, 0)')} AS hhi, coalesce(journals, 0) AS journals, {r('coalesce(max_share, 0)')} AS max_share, {r('self_rate')} AS self_citation_rate FROM a LEFT JOIN h USING (l_orderkey)""")
+def paper_citations(spark: SparkSession, d: str) -> DataFrame:
+    refs = read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    refs = refs.select("l_orderkey", F.lit(2000).alias("year"), F.year("l_shipdate").alias("cited"), "p_brand", F.array(F.col("l_suppkey") % 7).alias("own"), F.array(F.col("l_partkey") % 7, F.col("l_linenumber").cast("long")).alias("theirs"))
+    return G.paper_citations(refs, "l_orderkey", "year", "cited", "p_brand", "own", "theirs")
 
 
 @query()
@@ -179,3 +199,15 @@ def leave_group_out(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.labels import without_journals
 
     return models.leave_group_out(without_journals(_training(spark, d), "source", ["src0$", "src7"]), "bad", "doc_id", COLUMNS, folds=2, trees=10, boosts=5, replicates=200)
+
+
+@query()
+def full_run(spark: SparkSession, d: str) -> DataFrame:
+    """All stages over orders as works, labels from orders: predictions of every paper."""
+    from . import stages
+    from .table_queries import works
+
+    flags = read(spark, d, "orders").where("o_totalprice > 400000").select(F.concat(F.lit("10.1/"), F.col("o_orderkey")).alias("doi"), F.lit(None).cast("string").alias("pmid"), F.col("o_orderstatus").alias("reason"))
+    settings = stages.Settings(years=(1990, 2030), cutoff_year=1998, folds=2, trees=10, boosts=5, replicates=200)
+    out = stages.run(works(spark, d), flags, settings=settings).predictions
+    return out.select("paper_id", "is_retracted", "probability", "flagged")

@@ -196,27 +196,33 @@ def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
     return M.stratified_folds(read(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
-_LABELS = [("T1", "Neurology", "Paper Mill", "10.1/0", None, 1), ("T2", "Deep learning", "error", "https://doi.org/10.1/17", None, 2), ("T3", None, "Fake Peer Review", " 10.1/0 ", "7", 3), ("T4", "AI", "Unreliable Data", None, "12", 4)]
-
-
-@query(f"""WITH l(title, subject, reason, doi, pmid, pos) AS (VALUES {', '.join('(' + ', '.join('NULL' if v is None else q(v) if isinstance(v, str) else str(v) for v in row) + ')' for row in _LABELS)}),
-a AS (SELECT regexp_replace(lower(trim(doi)), '^https?://(dx\\.)?doi\\.org/', '') AS k, arg_max(reason, pos) AS reason FROM l WHERE coalesce(trim(doi), '') <> '' GROUP BY 1),
+@query("""WITH l AS (SELECT CASE doc_id % 3 WHEN 0 THEN ' https://doi.org/10.1/' || (doc_id // 2) WHEN 1 THEN '10.1/' || (doc_id // 2) || ' ' END AS doi, CASE WHEN doc_id % 5 = 0 THEN doc_id || ' ' END AS pmid, CASE WHEN doc_id % 4 > 0 THEN 'reason ' || (doc_id % 7) END AS reason, doc_id AS pos FROM labels),
+a AS (SELECT regexp_replace(lower(trim(doi)), '^https?://(dx\\.)?doi\\.org/', '') AS k, arg_max(coalesce(reason, ''), pos) AS reason FROM l WHERE coalesce(trim(doi), '') <> '' GROUP BY 1),
 b AS (SELECT DISTINCT trim(pmid) AS p FROM l WHERE coalesce(trim(pmid), '') <> '')
 SELECT doc_id, (a.k IS NOT NULL OR b.p IS NOT NULL) AS is_retracted, coalesce(a.reason, '') AS retraction_reason FROM documents LEFT JOIN a ON a.k = '10.1/' || doc_id LEFT JOIN b ON b.p = doc_id::VARCHAR""")
 def label_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_LABELS, "title string, subject string, reason string, doi string, pmid string, at int")
-    corpus = read(spark, d, "documents").select("doc_id", F.concat(F.lit("https://doi.org/10.1/"), F.col("doc_id")).alias("doi"), F.col("doc_id").cast("string").alias("pmid"))
+    """Two labels may have one DOI, written in two ways; a third of the labels has none, a fifth has a PMID."""
+    id_ = F.col("doc_id")
+    doi = F.when(id_ % 3 == 0, F.concat(F.lit(" https://doi.org/10.1/"), F.floor(id_ / 2))).when(id_ % 3 == 1, F.concat(F.lit("10.1/"), F.floor(id_ / 2), F.lit(" ")))
+    rows = read(spark, d, "labels").select(doi.alias("doi"), F.when(id_ % 5 == 0, F.concat(id_, F.lit(" "))).alias("pmid"), F.when(id_ % 4 > 0, F.concat(F.lit("reason "), id_ % 7)).alias("reason"), id_.alias("at"))
+    corpus = read(spark, d, "documents").select("doc_id", F.concat(F.lit("https://doi.org/10.1/"), id_).alias("doi"), id_.cast("string").alias("pmid"))
     return L.matched(corpus, rows, "at").select("doc_id", "is_retracted", "retraction_reason")
 
 
-_TITLES = [(1, "Deep Learning for x", None, "Paper Mill; other", "1/2/2021 0:00"), (2, "A U-Net study", "med", "Error", "2020-05-06"), (3, "Began here", "LSTM", "concerns/issues about data", "garbage"), (4, "Plain", None, None, None)]
+_TITLES = ["Deep Learning for ", "A U-Net study of ", "Began here: ", "Plain "]
+_REASONS = ["Paper Mill; other", "Error", "concerns/issues about data", None, "UNRELIABLE DATA"]
+_pick = lambda values, n: f"[{', '.join('NULL' if v is None else q(v) for v in values)}][{n} % {len(values)} + 1]"
 
 
-@query(f"""WITH l(id, title, subject, reason, day) AS (VALUES {', '.join('(' + ', '.join('NULL' if v is None else q(v) if isinstance(v, str) else str(v) for v in row) + ')' for row in _TITLES)})
+@query(f"""WITH l AS (SELECT o_orderkey AS id, {_pick(_TITLES, 'o_orderkey')} || o_orderpriority AS title, CASE WHEN o_custkey % 3 > 0 THEN 'about LSTM ' || o_orderstatus END AS subject, {_pick(_REASONS, 'o_custkey')} AS reason, o_orderdate FROM orders)
 SELECT id, coalesce(regexp_matches(reason, {q('(?i)' + '|'.join(V.FRAUD_REASONS))}), false) AS fraud, regexp_matches(coalesce(title, '') || ' ' || coalesce(subject, ''), {q('(?i)' + '|'.join(f'{chr(92)}b{t}{chr(92)}b' for t in V.TOPICS))}) AS on_topic,
-coalesce(year(coalesce(try_strptime(day, '%Y-%m-%d'), try_strptime(day, '%m/%d/%Y %H:%M'))), 0)::INTEGER AS year FROM l""")
+CASE WHEN id % 4 = 3 THEN 0 ELSE year(o_orderdate) END::INTEGER AS year FROM l""")
 def label_filters(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_TITLES, "id int, title string, subject string, reason string, day string")
+    """Orders as labels; dates in three forms, and every fourth one no date."""
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (F.col(n) % len(values)).cast("int"))
+    form = F.col("o_orderkey") % 4
+    day = F.when(form == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(form == 1, F.date_format("o_orderdate", "M/d/yyyy H:mm")).when(form == 2, F.date_format("o_orderdate", "yyyy/M/d")).otherwise("undated")
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(pick(_TITLES, "o_orderkey"), F.col("o_orderpriority")).alias("title"), F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("about LSTM "), F.col("o_orderstatus"))).alias("subject"), pick(_REASONS, "o_custkey").alias("reason"), day.alias("day"))
     return rows.select("id", L.fraud(F.col("reason")).alias("fraud"), L.on_topic(F.col("title"), F.col("subject")).alias("on_topic"), F.coalesce(F.year(L.lenient_date(F.col("day"))), F.lit(0)).alias("year"))
 
 
@@ -231,14 +237,45 @@ def group_exclusion(spark: SparkSession, d: str) -> DataFrame:
     return L.without_journals(read(spark, d, "documents").select("doc_id", "source"), "source", ["SRC1", "src7"])
 
 
-_WORKS = """{"id":"W1","doi":"10.1/a","title":"T","publication_year":2020,"cited_by_count":5,"abstract_inverted_index":{"deep":[0,3],"learning":[1],"is":[2]},"authorships":[{"author":{"id":"A1","display_name":"Ann"},"is_corresponding":false,"institutions":[{"country_code":"US"}]},{"author":{"id":"A2","display_name":"Bob"},"is_corresponding":true,"institutions":[{"country_code":"CN"},{"country_code":"CN"}]}],"primary_location":{"source":{"display_name":"J"}},"concepts":[{"display_name":"c1"},{"display_name":"c2"}],"open_access":{"is_oa":true},"referenced_works":["W2","W3"]}
-{"id":"W2","title":"No place","publication_year":2019,"cited_by_count":0,"authorships":[{"author":{"id":"","display_name":"Cy"},"is_corresponding":false,"institutions":[]}],"primary_location":null,"concepts":[],"referenced_works":[]}"""
+_codes = lambda x: f"list_filter([CASE WHEN {x}.p % 2 = 0 THEN 'US' END, CASE WHEN {x}.p % 3 = 0 THEN 'CN' ELSE 'DE' END], lambda c: c IS NOT NULL)"
 
 
-@query("""SELECT * FROM (VALUES ('W1', '10.1/a', 'T', 'deep learning is deep', 2020, 5::BIGINT, 'J', 2, 'Ann', 'A1;A2', 'CN;CN', 'CN;US', 'c1;c2', true, 2, 'W2;W3'), ('W2', NULL, 'No place', NULL, 2019, 0::BIGINT, NULL, 1, 'Cy', '', '', '', '', false, 0, ''))
-AS t(paper_id, doi, title, abstract, publication_year, cited_by_count, journal_name, author_count, first_author_name, author_ids, corresponding_countries, all_countries, concepts, is_oa, referenced_works_count, referenced_works)""")
+@query(f"""WITH l AS (SELECT l_orderkey, list({{'s': l_suppkey, 'p': l_partkey, 'f': l_returnflag, 'c': l_linestatus = 'F' AND l_linenumber > 1}} ORDER BY l_linenumber, l_suppkey, l_partkey, l_returnflag, l_linestatus) AS a FROM lineitem GROUP BY l_orderkey),
+w AS (SELECT *, list_filter(a, lambda x: x.c) AS m FROM orders JOIN l ON o_orderkey = l_orderkey), v AS (SELECT *, CASE WHEN len(m) > 0 THEN m[1] ELSE a[-1] END AS k FROM w)
+SELECT 'W' || o_orderkey AS paper_id, CASE WHEN o_orderkey % 3 > 0 THEN '10.1/' || o_orderkey END AS doi, CASE WHEN o_orderkey % 4 > 0 THEN (o_custkey)::VARCHAR END AS pmid, CASE WHEN o_orderkey % 5 > 0 THEN 'PMC' || o_custkey END AS pmcid, o_orderpriority AS title,
+o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderpriority AS abstract, year(o_orderdate)::INTEGER AS publication_year, o_custkey AS cited_by_count, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS journal_name, len(a)::INTEGER AS author_count,
+'S' || a[1].s AS first_author_name, CASE WHEN a[1].s % 11 = 0 THEN '' ELSE 'A' || a[1].s END AS first_author_id, array_to_string(list_transform(list_filter(a, lambda x: x.s % 11 > 0), lambda x: 'A' || x.s), ';') AS author_ids, array_to_string({_codes('k')}, ';') AS corresponding_countries,
+array_to_string(list_sort(list_distinct(flatten(list_transform(a, lambda x: {_codes('x')})))), ';') AS all_countries, array_to_string(list_transform(a[:10], lambda x: x.f), ';') AS concepts, o_orderstatus = 'F' AS is_oa, len(a)::INTEGER AS referenced_works_count, array_to_string(list_transform(a[:50], lambda x: 'W' || x.p), ';') AS referenced_works FROM v""")
 def corpus_flatten(spark: SparkSession, d: str) -> DataFrame:
+    return R.flat_record(works(spark, d))
+
+
+def works(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as works, their lines as authors and references, through the JSON that works are landed in."""
     from ..sources.readers import WORK
 
-    rows = spark.createDataFrame([(line,) for line in _WORKS.split("\n")], "line string")
-    return R.flat_record(rows.select(F.from_json("line", WORK).alias("w")).select("w.*")).na.fill(False, ["is_oa"])
+    cols = ["l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus"]
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("of"))  # at most a few lines an order
+    places = lambda x: F.array(F.struct(F.when(x["l_partkey"] % 2 == 0, "US").alias("country_code")), F.struct(F.when(x["l_partkey"] % 3 == 0, "CN").otherwise("DE").alias("country_code")))
+    who = lambda x: F.struct(F.when(x["l_suppkey"] % 11 == 0, "").otherwise(F.concat(F.lit("A"), x["l_suppkey"])).alias("id"), F.concat(F.lit("S"), x["l_suppkey"]).alias("display_name"))
+    author = lambda x: F.struct(who(x).alias("author"), ((x["l_linestatus"] == "F") & (x["l_linenumber"] > 1)).alias("is_corresponding"), places(x).alias("institutions"))
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    work = F.struct(
+        F.concat(F.lit("W"), key).alias("id"), F.when(key % 3 > 0, F.concat(F.lit("10.1/"), key)).alias("doi"), F.col("o_orderpriority").alias("title"), F.year("o_orderdate").alias("publication_year"), customer.alias("cited_by_count"),
+        F.struct(F.when(key % 4 > 0, customer.cast("string")).alias("pmid"), F.when(key % 5 > 0, F.concat(F.lit("https://articles.example/PMC"), customer, F.lit("/"))).alias("pmcid")).alias("ids"),
+        F.create_map("o_orderpriority", F.array(F.lit(0), F.lit(2)), "o_orderstatus", F.array(F.lit(1))).alias("abstract_inverted_index"), F.transform("of", author).alias("authorships"),
+        F.when(key % 7 > 0, F.struct(F.struct(F.col("o_orderpriority").alias("display_name")).alias("source"))).alias("primary_location"), F.transform("of", lambda x: F.struct(x["l_returnflag"].alias("display_name"))).alias("concepts"),
+        F.struct((F.col("o_orderstatus") == "F").alias("is_oa")).alias("open_access"), F.transform("of", lambda x: F.concat(F.lit("W"), x["l_partkey"])).alias("referenced_works"),
+    )
+    rows = read(spark, d, "orders").join(lines, key == F.col("l_orderkey"))
+    return rows.select(F.from_json(F.to_json(work), WORK).alias("w")).select("w.*")
+
+
+@query()
+def prevalence_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return S.estimate(labelled(spark, d), "score")
+
+
+@query(f"WITH {ORDERS}, g AS ({_group_sql('o', 'o_custkey', 10, 0.5)}) SELECT * FROM g ORDER BY n_papers DESC, o_custkey LIMIT 20")
+def largest_groups(spark: SparkSession, d: str) -> DataFrame:
+    return S.largest(orders(spark, d), "o_custkey", "score")

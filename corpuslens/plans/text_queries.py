@@ -45,21 +45,7 @@ def phrase_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_matches(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each match with its place and surroundings; places from the lengths between matches."""
-    def found(phrase: str) -> DataFrame:
-        pattern = "(?i)" + T.phrase_pattern(phrase)
-        before = F.transform(F.split("text", pattern, -1), lambda x: F.length(x))
-        place = lambda sizes: F.transform(F.slice(sizes, 1, F.size(sizes) - 1), lambda x, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, y: a + y) + i * len(phrase))
-        starts = F.element_at(F.transform(F.array(before), place), 1)
-        return docs(spark, d).where(F.col("text").rlike(pattern)).select("doc_id", "text", F.lit(phrase).alias("phrase"), F.explode(starts).alias("start"))
-
-    rows = found(PHRASES[0])
-    for phrase in PHRASES[1:]:
-        rows = rows.union(found(phrase))
-    end = F.col("start") + F.length("phrase")
-    lo = F.greatest(F.col("start") - 50, F.lit(0))
-    around = F.trim(F.replace(F.substring(F.col("text"), lo + 1, end + 50 - lo), F.lit("\n"), F.lit(" ")))
-    return rows.select("doc_id", "phrase", "start", end.alias("end"), F.concat(F.lit("..."), around, F.lit("...")).alias("context"))
+    return T.phrase_rows(docs(spark, d).select("doc_id", "text"), "text", {p: p.upper() for p in PHRASES})
 
 
 def ai_text_features(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +182,12 @@ _std = "[" + ", ".join(map(q, V.SECTIONS)) + "]"
 _headings = "[" + ", ".join(f"[{', '.join(map(q, h))}]::VARCHAR[]" for h in HEADINGS) + f"][doc_id % {len(HEADINGS)} + 1]"
 _sections = f"[{', '.join(map(q, SECTIONS))}]"
 
+_starts = "list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(phrase)"
 ORACLES = {
+    "phrase_matches": f"""WITH v(phrase) AS (VALUES {', '.join(f'({q(p)})' for p in PHRASES)}), x AS (SELECT doc_id, text, phrase, string_split(lower(text), phrase) AS parts FROM documents, v WHERE contains(lower(text), phrase)),
+y AS (SELECT *, unnest(range(1, len(parts))) AS i FROM x), z AS (SELECT doc_id, text, phrase, ({_starts})::INTEGER AS "start", ({_starts} + length(phrase))::INTEGER AS "end" FROM y)
+SELECT doc_id, phrase, upper(phrase) AS correction, "start", "end", '...' || trim(replace(substr(text, greatest("start" - 50, 0) + 1, "end" + 50 - greatest("start" - 50, 0)), chr(10), ' ')) || '...' AS context FROM z
+WHERE NOT regexp_matches(CASE WHEN "start" > 0 THEN substr(text, "start", 1) ELSE '' END, '[{W}]') AND NOT regexp_matches(substr(text, "end" + 1, 1), '[{W}]')""",
     "text_uniformity": f"WITH {BASE}, {UNIFORM} SELECT doc_id, {r('sentence_length_cv')} AS sentence_length_cv, {r('paragraph_length_cv')} AS paragraph_length_cv, {r('vocabulary_diversity')} AS vocabulary_diversity FROM u",
     "boilerplate_density": f"WITH {BASE}, {BOILER} SELECT doc_id, boilerplate_count, {r('CASE WHEN w > 0 THEN boilerplate_count::DOUBLE / w * 1000 ELSE 0.0 END')} AS boilerplate_density FROM b",
     "phrase_detect": f"WITH {BASE}, {PHRASE} SELECT doc_id, len(found) AS tortured_count, {r('CASE WHEN w > 0 THEN len(found)::DOUBLE / w * 1000 ELSE 0.0 END')} AS tortured_density, len(list_distinct(found)) AS tortured_unique FROM p",
