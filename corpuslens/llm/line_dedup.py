@@ -4,7 +4,8 @@ Lines of at least MIN_CHARS characters (without the white space around them) are
 one of EDITS + 1 segments (pigeonhole). Every distinct line is indexed by its segments, with its length and the segment's
 number, and probes the indexes of lines up to EDITS characters shorter with the substrings at the only offsets that can
 match. All these keys are dealt once, by key; keys where a line meets an indexed one are found there by their least and
-greatest line, and only their lines go on. Candidates whose counts of letters differ too much go (a necessary
+greatest line, and only their lines go on. The lines of a key that many share are told apart by further segments of what is left
+of them without the shared one, so families of lines that are alike in all but a field do not meet in pairs. Candidates whose counts of letters differ too much go (a necessary
 condition); the other pairs are verified by edit distance in a band of 2 * EDITS + 1 bits that moves down the diagonal.
 Linked lines form classes; of each class the first line in order of (doc_id, text's digest, line number) stays and all others
 go.
@@ -24,8 +25,10 @@ from ._io import SPACES, discard, row_tag, stored, table
 
 EDITS = 2
 MIN_CHARS = 24
-#: Letters whose numbers are compared before two lines are.
-LETTERS = "eainotrshlducmgw"
+#: Letters and digits whose numbers are compared before two lines are.
+LETTERS, DIGITS = "eainotrshlducmgw", "0123456789"
+#: Rows of a key whose lines are compared with each other; those of larger keys are told apart by the rest of the line first.
+FEW = 32
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -37,23 +40,36 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return start, size(i)
 
 
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), text)
+def _key(length: Column, i: int, text: Column, group: Column | None = None) -> Column:
+    return F.xxhash64(length, F.lit(i), text) if group is None else F.xxhash64(group, length, F.lit(i), text)
 
 
-def line_keys(line: Column, length: Column, edits: int) -> Column:
-    """The edits + 1 keys under which a line is indexed, then those that find the other lines of at most its length that may be
-    within edits of it. A segment in its own place is both."""
-    own = [_key(length, i, F.substring(line, *_segment(length, i, edits))) for i in range(edits + 1)]
+def ways(edits: int) -> list[tuple[int, int, int]]:
+    """(less, segment, shift): the keys of a line. The first edits + 1 are those under which it is indexed; the others find lines that
+    are `less` characters shorter and hold the segment `shift` characters earlier. A segment in its own place is both."""
+    out = [(0, i, 0) for i in range(edits + 1)]
     for less in range(edits + 1):
-        short = length - less
         for i in range(edits + 1):
-            start, size = _segment(short, i, edits)
             after = edits - i
-            for shift in range(max(-i, less - after), min(i, less + after) + 1):
-                if less or shift:
-                    own.append(_key(short, i, F.substring(line, start + shift, size)))
-    return F.array(*own)
+            out += [(less, i, shift) for shift in range(max(-i, less - after), min(i, less + after) + 1) if less or shift]
+    return out
+
+
+def _place(length: Column, way: tuple[int, int, int], edits: int) -> tuple[Column, Column]:
+    less, i, shift = way
+    start, size = _segment(length - less, i, edits)
+    return start + shift, size
+
+
+def line_keys(line: Column, length: Column, edits: int) -> Column:
+    """The keys of a line, in the order of ways()."""
+    return F.array(*(_key(length - w[0], w[1], F.substring(line, *_place(length, w, edits))) for w in ways(edits)))
+
+
+def without(line: Column, length: Column, way: tuple[int, int, int], edits: int) -> Column:
+    """The line without the segment that the key is made of."""
+    start, size = _place(length, way, edits)
+    return F.concat(F.substring(line, F.lit(1), start - 1), F.substring(line, start + size, length))
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -119,22 +135,27 @@ def _bit(value: Column, below: Column, width: int) -> Column:
     return out
 
 
-def letter_counts(line: Column) -> Column:
-    """The numbers of LETTERS, each modulo 16, in one whole number."""
+def character_counts(line: Column) -> Column:
+    """The numbers of LETTERS and of DIGITS, each modulo 16, in two whole numbers."""
     count = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long")
-    packed = F.lit(0).cast("long")
-    for k, c in enumerate(LETTERS):
-        packed = packed.bitwiseOR(F.shiftleft(count(c), 4 * k))
-    return packed
+
+    def packed(characters: str) -> Column:
+        out = F.lit(0).cast("long")
+        for k, c in enumerate(characters):
+            out = out.bitwiseOR(F.shiftleft(count(c), 4 * k))
+        return out
+
+    return F.array(packed(LETTERS), F.when(line.rlike("[0-9]"), packed(DIGITS)).otherwise(F.lit(0).cast("long")))
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """Sum of the differences of two letter_counts(), at most their true sum. An edit changes two counts by one at most."""
+    """Sum of the differences of two character_counts(), at most their true sum. An edit changes two counts by one at most."""
     total = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        field = lambda x: F.shiftright(x, 4 * k).bitwiseAND(F.lit(15).cast("long"))  # noqa: B023, E731
-        gap = (field(a) - field(b)).bitwiseAND(F.lit(15).cast("long"))
-        total = total + F.least(gap, 16 - gap)
+    for at, characters in enumerate((LETTERS, DIGITS)):
+        for k in range(len(characters)):
+            field = lambda x: F.shiftright(F.get(x, F.lit(at)), 4 * k).bitwiseAND(F.lit(15).cast("long"))  # noqa: B023, E731
+            gap = (field(a) - field(b)).bitwiseAND(F.lit(15).cast("long"))
+            total = total + F.least(gap, 16 - gap)
     return total
 
 
@@ -149,23 +170,66 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 def candidates(texts: DataFrame, edits: int) -> DataFrame:
     """key, h1, own for the lines under each key where a line meets another that is indexed there. texts: distinct h1, line."""
     line, length = F.col("line"), F.length("line")
-    rows = texts.select("h1", F.posexplode(line_keys(line, length, edits)).alias("pos", "key")).select("key", "h1", (F.col("pos") <= edits).alias("own")).repartition("key")
-    met = rows.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.max("own").alias("indexed"))
-    met = met.where("indexed and least <> most").select("key")
+    rows = texts.select("h1", F.posexplode(line_keys(line, length, edits)).alias("pos", "key")).select("key", "h1", F.col("pos").cast("byte").alias("pos")).repartition("key")
+    return _met(rows, F.col("pos") <= edits).distinct()
+
+
+def _met(rows: DataFrame, own: Column) -> DataFrame:
+    """The rows (dealt by key) of the keys where a line meets another that is indexed there, with the number of the key's rows."""
+    met = rows.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.max(own).alias("indexed"), F.count(F.lit(1)).alias("many"))
+    met = met.where("indexed and least <> most").select("key", "many")
     # an inner join, as a semi-join would move below the exchange, which both sides are to share
-    return rows.join(met.hint("shuffle_hash"), "key").distinct()
+    return rows.join(met.hint("shuffle_hash"), "key")
+
+
+def apart(members: DataFrame, texts: DataFrame, edits: int, few: int = FEW) -> list[DataFrame]:
+    """key, h1, own, whole: members of keys with at most `few` rows. The lines of larger keys are told apart by the rest of them.
+
+    Lines that share a segment and are within edits of each other are so in what is left without it, which has segments again:
+    so a key that many lines share is dealt anew by its lines' shorter rests, until keys are small or rests are of less than
+    edits + 1 characters. Lines indexed under such a last key differ in those characters alone: they all link with its first
+    (whole is false: no other pair of them is needed). A row goes on with the shorter lines of its own key's length only.
+    """
+    line, length, all_ways = F.col("line"), F.length("line"), ways(edits)
+    found = [members.where(F.col("many") <= few).select("key", "h1", (F.col("pos") <= edits).alias("own"), F.lit(True).alias("whole"))]
+    rest, lead = F.lit(None).cast("string"), F.lit(0)
+    for pos, way in enumerate(all_ways):
+        rest, lead = F.when(F.col("pos") == pos, without(line, length, way, edits)).otherwise(rest), F.when(F.col("pos") == pos, way[0]).otherwise(lead)
+    hot = members.where(F.col("many") > few).join(texts.select("h1", "line"), "h1").select("key", "h1", rest.alias("line"), lead.cast("byte").alias("lead"))
+    hot = stored(hot, "rests")
+    while not hot.isEmpty():
+        some = []
+        for less in range(edits + 1):
+            mine = [w for w in all_ways if w[0] == less]
+            made = F.array(*(F.struct(_key(length - less, w[1], F.substring(line, *_place(length, w, edits)), F.col("key")).alias("key"), F.lit(w in all_ways[: edits + 1]).alias("own"), without(line, length, w, edits).alias("line")) for w in mine))
+            some.append(F.when(F.col("lead") == less, made))
+        level = stored(_met(hot.select("h1", "lead", F.inline(F.coalesce(*some))).repartition("key"), F.col("own")), "rests")
+        large = F.col("many") > few
+        last = F.length("line") - F.col("lead") <= edits
+        found.append(level.where(~large | last).select("key", "h1", "own", (~large).alias("whole")))
+        discard(hot)
+        hot = stored(level.where(large & ~last).select("key", "h1", "line", "lead").distinct(), "rests")
+    discard(hot)
+    return found
 
 
-def near_lines(texts: DataFrame, edits: int) -> DataFrame:
+def near_lines(texts: DataFrame, edits: int, few: int = FEW) -> DataFrame:
     """h1, h2, component for the distinct lines (h1, h2, line) that are within edits of another one."""
-    members = stored(candidates(texts, edits), "members")
-    some = texts.join(members.select("h1").distinct().hint("shuffle_hash"), "h1", "left_semi").withColumns({"node": F.monotonically_increasing_id(), "letters": letter_counts(F.col("line"))})
+    keys = stored(candidates(texts, edits), "keys")
+    members = keys.select("key", "h1", F.lit(None).cast("boolean").alias("own"), F.lit(None).cast("boolean").alias("whole")).where("false")
+    for part in apart(keys, texts, edits, few):
+        members = members.union(part)
+    members = stored(members, "members")
+    discard(keys)
+    some = texts.join(members.select("h1").distinct().hint("shuffle_hash"), "h1", "left_semi").withColumns({"node": F.monotonically_increasing_id(), "letters": character_counts(F.col("line"))})
     some = stored(some, "some")
     named = members.join(some.select("h1", "node", "letters"), "h1")
-    side = lambda role: named.select("key", *(F.col(c).alias(f"{role}_{c}") for c in ("node", "letters", "own")))
-    maybe = side("a").where("a_own").join(side("b"), "key").where(F.when(F.col("b_own"), F.col("a_node") < F.col("b_node")).otherwise(F.col("a_node") != F.col("b_node")))
+    side = lambda role: named.select("key", *(F.col(c).alias(f"{role}_{c}") for c in ("node", "letters", "own", "whole")))
+    heads = named.where("own and not whole").groupBy("key").agg(F.min("node").alias("head"))
+    stars = named.where("own and not whole").join(heads, "key").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    maybe = side("a").where("a_own").join(side("b"), "key").where(F.col("a_whole") | ~F.col("b_own")).where(F.when(F.col("b_own"), F.col("a_node") < F.col("b_node")).otherwise(F.col("a_node") != F.col("b_node")))
     maybe = maybe.where(counts_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits)
-    maybe = stored(maybe.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "pairs")
+    maybe = stored(maybe.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).union(stars).distinct(), "pairs")
     text = lambda role: some.select(F.col("node").alias(role), F.col("line").alias(f"{role}_line"))
     pairs = maybe.join(text("a"), "a").join(text("b"), "b").where(within_edits(F.col("a_line"), F.col("b_line"), edits))
     links = stored(pairs.select("a", "b"), "links")

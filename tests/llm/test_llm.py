@@ -151,6 +151,48 @@ def test_lines_of_repeated_ids(spark):
     assert sorted((r[0], r[4]) for r in want) == sorted((r.id, r.h) for r in line_dedup.without_repeats(docs).select(F.col("doc.doc_id").alias("id"), F.md5("cleaned").alias("h")).collect())
 
 
+def edits_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("few", [3, 64])
+def test_line_families(spark, few):
+    """Families that are alike in all but a field of changing length: all links of brute force, whatever the size of a key."""
+    rng = random.Random(few)
+    lines = {f"Order {rng.randrange(10 ** rng.choice([2, 3, 3, 4]))} of the shop was shipped on Monday at noon" for _ in range(150)}
+    lines |= {f"{rng.choice(['ab', 'ba', 'aab', 'é'])}{'xyxy' * 5}{rng.choice(['', 'x', 'xy'])}{rng.randrange(30)}xyxyxy{rng.choice(['', 'a', 'bb'])}" for _ in range(150)}
+    lines = sorted(x for x in lines if len(x) >= line_dedup.MIN_CHARS)
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "n long, line string").select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), "line")
+    of = {r.h1: r.line for r in df.collect()}
+    links = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if abs(len(a) - len(b)) <= 2 and edits_apart(a, b) <= 2]
+    want = {}
+    for x, c in zip(lines, components(len(lines), links), strict=True):
+        want.setdefault(c, set()).add(x)
+    got = {}
+    for r in line_dedup.near_lines(df, 2, few).collect():
+        got.setdefault(r.component, set()).add(of[r.h1])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_line_families_pairs(spark):
+    """Of 499 500 pairs of a family of numbered lines, few are kept for verification."""
+    lines = {f"Order {k:06d} of the shop of the old town was shipped on Monday" for k in random.Random(1).sample(range(10**6), 1000)}
+    df = spark.createDataFrame([(x,) for x in sorted(lines)], "line string").select(F.xxhash64("line").alias("h1"), "line")
+    members = None
+    for part in line_dedup.apart(line_dedup.candidates(df, 2), df, 2):
+        members = part if members is None else members.union(part)
+    assert members.groupBy("key", "whole").count().where(f"whole and count > {line_dedup.FEW}").isEmpty()
+    members = members.join(df.select("h1", line_dedup.character_counts(F.col("line")).alias("counts")), "h1")
+    both = members.where("own").alias("a").join(members.alias("b"), "key").where("a.h1 <> b.h1 and (a.whole or not b.own)")
+    assert both.where(line_dedup.counts_apart(F.col("a.counts"), F.col("b.counts")) <= 4).select(F.least("a.h1", "b.h1"), F.greatest("a.h1", "b.h1")).distinct().count() < 20_000
+
+
 def test_bit_parallel(spark):
     rng = random.Random(5)
     rows = []
@@ -169,7 +211,7 @@ def test_bit_parallel(spark):
         pairs = df.where((F.levenshtein("a", "b") <= edits) & (F.length("a") >= F.length("b")) & (F.length("b") > 8))
         own = F.slice(line_dedup.line_keys(F.col("b"), F.length("b"), edits), 1, edits + 1)
         assert pairs.where(~F.arrays_overlap(line_dedup.line_keys(F.col("a"), F.length("a"), edits), own)).count() == 0
-        assert pairs.where(line_dedup.counts_apart(line_dedup.letter_counts(F.col("a")), line_dedup.letter_counts(F.col("b"))) > 2 * edits).count() == 0
+        assert pairs.where(line_dedup.counts_apart(line_dedup.character_counts(F.col("a")), line_dedup.character_counts(F.col("b"))) > 2 * edits).count() == 0
 
 
 # ---- 3
@@ -356,11 +398,29 @@ def test_lone_pairs(spark, tmp_path):
     assert got.n_links.tolist() == [many[i] for i in range(len(x))] and got.component_id.tolist() == components(len(x), links)
 
 
-def test_sign_tables():
+def test_passes():
     agree = 1 - math.acos(0.9) / math.pi
     for n in (0, 1000, 10**5, 10**6, 10**8):
-        bits, tables = embedding_dedup.plan(n, 0.9)
-        assert (1 - agree**bits) ** tables <= 1e-6 and n / 2**bits < 50_000
+        met = agree ** max(0, math.log2(max(n, 1) / embedding_dedup.WINDOW))
+        assert (1 - met) ** embedding_dedup.passes(n, 0.9) <= embedding_dedup.MISS
+    assert embedding_dedup.passes(10**6, 0.9) < 69
+
+
+@pytest.mark.parametrize(("n", "window", "rows"), [(2000, 64, 300), (10_000, 512, 8192)])
+def test_windows(spark, monkeypatch, n, window, rows):
+    """Pairs at the threshold among spread vectors, over many ranges with borders between them."""
+    monkeypatch.setattr(embedding_dedup, "ROWS", rows)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for a in range(200):
+        b, cosine = n - 1 - a, 0.9001 + 0.0001 * (a % 10)
+        side = x[b] - (x[b] @ x[a]) * x[a]
+        x[b] = cosine * x[a] + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+    close = np.triu(x @ x.T >= 0.9, 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_vectors(df, window=window).toPandas().set_index("vec_id").sort_index()
+    assert close.sum() >= 200 and got.n_links.sum() == 2 * close.sum() and got.component_id.tolist() == components(n, zip(*np.nonzero(close)))
 
 
 def brute_sets(texts, width, threshold):
