@@ -3,7 +3,7 @@
 Messages name the message they answer. Iterative self-joins follow these links: in each round a message's link is joined with the link
 of the message it leads to, so links double in length and a tree of depth d takes log2(d) rounds; on the way the scores of the
 path are added up. Leaves are ranked by the score of their branch. The paths of the chosen leaves come from the same
-tables of links, longest last, and each is formatted as one conversation, turn by turn from rows sorted by path, so a task
+tables of links, longest first, and each is formatted as one conversation, turn by turn from rows sorted by path, so a task
 holds one conversation at a time. No column of texts takes part in the self-joins.
 
 The template (FIXED marks below) escapes its own control strings inside texts by a backslash after their first character,
@@ -79,28 +79,33 @@ def branches(messages: DataFrame, top: int = 1, tree: str = "tree", node: str =
     names = rows.select("tree", F.col("node").alias("up"))
     a, b = rows.alias("a"), names.alias("b")
     links = a.join(b, same & (F.col("a.parent") == F.col("b.up")), "left").select("a.tree", "a.node", "b.up", F.col("a.score").alias("total"), F.lit(1).cast("long").alias("hops"))
-    jumps = [stored(links, "links")]
+    moving = stored(links, "links")
     # in a circle links never end: beyond the number of a tree's messages nothing else is left
-    longest = jumps[0].groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    while 2 ** (len(jumps) - 1) < longest and not jumps[-1].where(F.col("up").isNotNull()).isEmpty():
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        both = a.join(b, same & (F.col("a.up") == F.col("b.node")), "left")
-        total = F.col("a.total") + F.coalesce("b.total", F.lit(0.0))
-        jumps.append(stored(both.select("a.tree", "a.node", "b.up", total.alias("total"), (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops")), "links"))
-    ended = jumps[-1].where(F.col("up").isNull()).alias("a")
-    inner = jumps[0].where(F.col("up").isNotNull()).select("tree", "up").distinct().alias("b")
-    leaves = ended.join(inner, same & (F.col("a.node") == F.col("b.up")), "left_anti")
+    longest = moving.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    inner = moving.where(F.col("up").isNotNull()).select("tree", "up").distinct().alias("b")
+    every, jumps, ended = [moving], [], moving.where(F.col("up").isNull())
+    while True:  # jumps[k]: links over 2**k messages; those that end above the root are done and go no further
+        moving = moving.where(F.col("up").isNotNull())
+        jumps.append(moving)
+        if 2 ** (len(jumps) - 1) >= longest or moving.isEmpty():
+            break
+        a, b = moving.alias("a"), moving.union(ended).alias("b")
+        both = a.join(b, same & (F.col("a.up") == F.col("b.node")))
+        moving = stored(both.select("a.tree", "a.node", "b.up", (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.hops") + F.col("b.hops")).alias("hops")), "links")
+        every.append(moving)
+        ended = ended.union(moving.where(F.col("up").isNull()))
+    leaves = ended.alias("a").join(inner, same & (F.col("a.node") == F.col("b.up")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
     chosen = leaves.withColumn("branch_rank", rank).where(F.col("branch_rank") <= top)
-    path = chosen.select("tree", F.col("node").alias("leaf"), "branch_rank", F.col("total").alias("branch_score"), "node", (F.col("hops") - 1).alias("depth"))
-    for k, step in enumerate(jumps):  # all messages up to 2**k places above the leaf, and those as far above them again
-        a, b = path.alias("a"), step.where(F.col("up").isNotNull()).select("tree", F.col("node").alias("_node"), "up").alias("b")
-        path = a.join(b, same & (F.col("a.node") == F.col("b._node")), "left").select(
-            "a.tree", "a.leaf", "a.branch_rank", "a.branch_score",
-            F.inline(F.filter(F.array(F.struct(F.col("a.node").alias("node"), F.col("a.depth").alias("depth")), F.struct(F.col("b.up").alias("node"), (F.col("a.depth") - 2**k).alias("depth"))), lambda x: x["node"].isNotNull())),
-        )
-    out = stored(path, "paths")
-    discard(*jumps)
+    chosen = stored(chosen.select("tree", F.col("node").alias("leaf"), "branch_rank", F.col("total").alias("branch_score"), "node", (F.col("hops") - 1).alias("depth"), (F.col("hops") - 1).alias("_long")), "leaves")
+    path = chosen.where("false")
+    for k in reversed(range(len(jumps))):  # longest links first: every 2**k-th message of the paths over 2**k links, so a path costs twice its length
+        a = path.union(chosen.where(F.col("_long").between(2**k, 2 ** (k + 1) - 1))).alias("a")
+        b = jumps[k].select("tree", F.col("node").alias("_node"), "up").alias("b")
+        both = F.array(F.struct(F.col("a.node").alias("node"), F.col("a.depth").alias("depth")), F.struct(F.col("b.up").alias("node"), (F.col("a.depth") - 2**k).alias("depth")))
+        path = a.join(b, same & (F.col("a.node") == F.col("b._node")), "left").select("a.tree", "a.leaf", "a.branch_rank", "a.branch_score", F.inline(F.filter(both, lambda x: x["node"].isNotNull())), "a._long").select(*chosen.columns)
+    out = stored(path.union(chosen.where("_long = 0")).drop("_long"), "paths")
+    discard(*every, chosen)
     return out
 
 
