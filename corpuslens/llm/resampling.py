@@ -31,7 +31,7 @@ from ._io import stored, table
 
 BUCKETS, MIN_WORDS, PER_CENT, SEED = 10_000, 20, 5, 42
 #: Bytes of text of which a task makes a dictionary at a time, and words after which a text is cut (with what its n-grams need of the next).
-BLOCK, PIECE = 6_000_000, 1_000_000
+BLOCK, PIECE = 3_000_000, 1_000_000
 
 #: Bytes of a text to those of its words: letters A-Z in lower case, separators as blanks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -66,15 +66,14 @@ class Shift:
 
 
 class Block:
-    """The words of some texts: `words` distinct, `at` the number of each place's word, `piece` and `place` of it, `own` where an n-gram may start."""
+    """The words of some texts: `words` distinct, `at` the number of each place's word, `left` the words from there to its text's end, `own` where an n-gram may start."""
 
     def __init__(self, pieces: list[list[bytes]]):
         sizes = np.array([len(p) for p in pieces], np.int64)
         coded = pa.array(list(chain.from_iterable(pieces)), pa.binary()).dictionary_encode()
         self.words: pa.Array = coded.dictionary
         self.at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.at))  # words from here to the piece's end
-        self.sizes, self.left = sizes, left
+        self.sizes, self.left = sizes, np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.at))
         self.own = np.ones(len(self.at), bool)
         if len(long := np.flatnonzero(sizes > PIECE)):
             starts = np.cumsum(sizes) - sizes
@@ -135,22 +134,21 @@ def _sent(ranges: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
             head = np.flatnonzero((keys & ((1 << 21) - 1)) == 0)  # words and pairs; the third words of a pair follow it
             fan = np.diff(head, append=len(keys)) - 1
             first, second = (keys[head] >> 42) - 1, ((keys[head] >> 21) & ((1 << 21) - 1)) - 1
-            hashed = np.array([zlib.crc32(w) for w in block.words.to_pylist()] or [0], np.uint64)
+            hashed = np.fromiter(map(zlib.crc32, block.words.to_numpy(zero_copy_only=False)), np.uint64, len(block.words))
             owner = ((hashed[first] * np.uint64(0x9E3779B1) + np.where(second < 0, np.uint64(0), hashed[second] * np.uint64(0x85EBCA77))) >> np.uint64(16)) % np.uint64(ranges)
             order = np.argsort(owner.astype(np.uint16 if ranges < 65536 else np.int64), kind="stable")
             owner, first, second, head, fan = owner[order].astype(np.int64), first[order], second[order], head[order], fan[order]
             w1 = block.words.take(pa.array(first))
             w2 = block.words.take(pa.array(second, mask=second < 0))
-            pairs = pc.binary_join_element_wise(w1, pc.if_else(pc.is_valid(w2), pc.binary_join_element_wise(pa.scalar(b""), w2, pa.scalar(b" ")), pa.scalar(b"")), pa.scalar(b""))
-            pairs = pc.binary_join_element_wise(pairs, pa.scalar(b""), pa.scalar(b"\n"))
+            pairs = pc.coalesce(pc.binary_join_element_wise(w1, w2, pa.scalar(b" ")), w1)
             ends = np.cumsum(fan)
             third = np.repeat(head + 1 - (ends - fan), fan) + np.arange(ends[-1] if len(ends) else 0)
-            w3 = pc.binary_join_element_wise(block.words.take(pa.array((keys[third] & ((1 << 21) - 1)) - 1)), pa.scalar(b""), pa.scalar(b"\n"))
+            w3 = block.words.take(pa.array((keys[third] & ((1 << 21) - 1)) - 1))
             cut = np.flatnonzero(np.diff(owner, prepend=-1, append=ranges))  # where ranges start, and the end
             rows = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 a, b = (ends[lo] - fan[lo]), ends[hi - 1]
-                parts = [_text(pairs, lo, hi), _numbers(counts[head[lo:hi]]), _numbers(fan[lo:hi]), _text(w3, a, b), _numbers(counts[third[a:b]])]
+                parts = [*_text(pairs, lo, hi), _numbers(counts[head[lo:hi]]), _numbers(fan[lo:hi]), *_text(w3, a, b), _numbers(counts[third[a:b]])]
                 rows.append((int(owner[lo]), side, packer.compress(b"".join([np.array([len(p) for p in parts], "<u8").tobytes(), *parts]))))
             for k in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), _SENT.types, strict=True)], schema=_SENT)
@@ -158,11 +156,18 @@ def _sent(ranges: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _text(strings: pa.Array, lo: int, hi: int) -> bytes:
+def _text(strings: pa.Array, lo: int, hi: int) -> tuple[bytes, bytes]:
+    """Lengths and bytes of some of the strings."""
     if hi <= lo:
-        return b""
-    offsets = np.frombuffer(strings.buffers()[1], np.int32)
-    return strings.buffers()[2].slice(int(offsets[lo]), int(offsets[hi] - offsets[lo])).to_pybytes()
+        return b"", b""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[lo : hi + 1]
+    data = strings.buffers()[2]
+    return _numbers(np.diff(offsets)), data.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if data is not None else b""
+
+
+def _from_text(lengths: memoryview, data: memoryview) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(_from_numbers(lengths))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 _SUMS = pa.schema([("bucket", pa.int32()), ("s", pa.int64()), ("t", pa.int64())])
@@ -175,16 +180,18 @@ def _dictionary(buckets: int) -> Callable[[pa.Table], pa.Table]:
         unpack, parts = zstandard.ZstdDecompressor(), []
         for side, raw in zip(rows.column("side").to_pylist(), rows.column("strings").to_pylist(), strict=True):
             raw = memoryview(unpack.decompress(raw))
-            sizes = np.frombuffer(raw[:40], "<u8").astype(np.int64)
-            ends = np.cumsum(sizes) + 40
-            pairs, counts, fan, thirds, more = (raw[e - s : e] for s, e in zip(sizes, ends, strict=True))
-            pairs = pa.array(bytes(pairs).split(b"\n")[:-1], pa.binary())
+            sizes = np.frombuffer(raw[:56], "<u8").astype(np.int64)
+            ends = np.cumsum(sizes) + 56
+            long, pairs, counts, fan, long3, thirds, more = (raw[e - s : e] for s, e in zip(sizes, ends, strict=True))
+            pairs = _from_text(long, pairs)
             n = np.concatenate([_from_numbers(counts), _from_numbers(more)])
-            longer = pc.binary_join_element_wise(pairs.take(pa.array(np.repeat(np.arange(len(pairs)), _from_numbers(fan)))), pa.array(bytes(thirds).split(b"\n")[:-1], pa.binary()), pa.scalar(b" "))
+            longer = pc.binary_join_element_wise(pairs.take(pa.array(np.repeat(np.arange(len(pairs)), _from_numbers(fan)))), _from_text(long3, thirds), pa.scalar(b" "))
             zero = np.zeros(len(n), np.int64)
             parts.append(pa.table({"feature": pa.concat_arrays([pairs, longer]), "s": n if side == 0 else zero, "t": n if side else zero}))
         found = pa.concat_tables(parts).group_by("feature", use_threads=False).aggregate([("s", "sum"), ("t", "sum")])
-        bucket = np.fromiter(map(zlib.crc32, found.column("feature").to_pylist()), np.uint32, len(found)) % buckets
+        del parts
+        features = found.column("feature").combine_chunks()
+        bucket = np.concatenate([np.fromiter(map(zlib.crc32, some.to_numpy(zero_copy_only=False)), np.uint32, len(some)) for at in range(0, len(found), 100_000) for some in [features.slice(at, 100_000)]]) % np.uint32(buckets)
         sums = [np.bincount(bucket, found.column(c).to_numpy().astype(np.float64), buckets).astype(np.int64) for c in ("s_sum", "t_sum")]
         some = np.flatnonzero(sums[0] + sums[1])
         return pa.table([some.astype(np.int32), *(x[some] for x in sums)], schema=_SUMS)
@@ -203,25 +210,23 @@ def _weighed(gains, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
         def out(ids: list[int | None], pieces: list[list[bytes]], of: list[int]) -> pa.RecordBatch:
             block, gain = Block(pieces), gains.value
-            hashed = np.array([(zlib.crc32(w), zlib.crc32(w, zlib.crc32(b" "))) for w in block.words.to_pylist()] or [(0, 0)], np.uint32)
-            rows = shift.rows(np.array([len(w) + 1 for w in block.words.to_pylist()] or [1]))
-            one, spaced, after = hashed[block.at, 0], hashed[block.at, 1], rows[block.at]
-            doc = np.repeat(np.array(of, np.int64), block.sizes)
-            weight, n = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-            crc = one
-            for k in (1, 2, 3):
-                at = block.starts(k)
-                if k > 1:  # the checksum of one word more
-                    longer = np.zeros_like(crc)
-                    within = np.flatnonzero(block.left >= k)
-                    longer[within] = shift(crc[within], after[within + k - 1]) ^ spaced[within + k - 1]
-                    crc = longer
-                got = gain[crc[at] % np.uint32(len(gain))]
-                some = np.flatnonzero(np.diff(doc[at], prepend=-1))
-                if len(some):
-                    weight[doc[at][some]] += np.add.reduceat(got, some)
-                n += np.bincount(doc[at], minlength=len(ids))
-            words = np.bincount(doc[block.starts(1)], minlength=len(ids))
+            words, blank = block.words.to_numpy(zero_copy_only=False), zlib.crc32(b" ")
+            alone = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+            behind = np.fromiter((zlib.crc32(w, blank) for w in words), np.uint32, len(words))
+            rows = shift.rows(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            one, spaced, after = alone[block.at], behind[block.at], rows[block.at]
+            total, n, crc = gain[one % np.uint32(len(gain))], block.own.astype(np.int64), one
+            for k in (2, 3):  # the checksums of one word more
+                at = np.flatnonzero(block.left >= k)
+                longer = np.zeros_like(crc)
+                longer[at] = shift(crc[at], after[at + (k - 1)]) ^ spaced[at + (k - 1)]
+                total[at] += gain[longer[at] % np.uint32(len(gain))]
+                n[at] += 1
+                crc = longer
+            total[~block.own] = n[~block.own] = 0
+            ends = np.concatenate([[0], np.cumsum(np.bincount(np.array(of, np.int64), block.sizes, len(ids)).astype(np.int64))])  # of each document's words
+            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])
+            words, n, weight = sums(block.own.astype(np.int64)), sums(n), sums(total)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words), pa.array(n), pa.array(weight)], schema=_WEIGHED)
 
         ids, pieces, of, held = [], [], [], 0
