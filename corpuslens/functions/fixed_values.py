@@ -180,15 +180,27 @@ EXCLUDED_JOURNALS = [
     "Journal of Food Quality", "International Transactions on Electrical Energy Systems", "Discrete Dynamics in Nature and Society",
 ]
 
-# Countries by world health region and by income group, and the regions' names.
-REGION_COUNTRIES = {
-    "AFR": "DZ AO BJ BW BF BI CV CM CF TD KM CG CD CI GQ ER SZ ET GA GM GH GN GW KE LS LR MG MW ML MR MU MZ NA NE NG RW ST SN SC SL ZA SS TG UG TZ ZM ZW",
-    "AMR": "AG AR BS BB BZ BO BR CA CL CO CR CU DM DO EC SV GD GT GY HT HN JM MX NI PA PY PE KN LC VC SR TT US UY VE",
-    "SEAR": "BD BT KP IN ID MV MM NP LK TH TL",
-    "EUR": "AL AD AM AT AZ BY BE BA BG HR CY CZ DK EE FI FR GE DE GR HU IS IE IL IT KZ KG LV LT LU MT MC ME NL MK NO PL PT MD RO RU SM RS SK SI ES SE CH TJ TR TM UA GB UZ",
-    "EMR": "AF BH DJ EG IR IQ JO KW LB LY MA OM PK PS QA SA SO SD SY TN AE YE",
-    "WPR": "AU BN KH CN CK FJ JP KR LA MY MH FM MN NR NZ NU PW PG PH WS SG SB TO TV VU VN TW",
-}
+# The world health region of each country, the regions' names, and the income group of countries.
+COUNTRY_REGIONS = {
+    "DZ": "AFR", "AO": "AFR", "BJ": "AFR", "BW": "AFR", "BF": "AFR", "BI": "AFR", "CV": "AFR", "CM": "AFR", "CF": "AFR", "TD": "AFR", "KM": "AFR", "CG": "AFR",
+    "CD": "AFR", "CI": "AFR", "GQ": "AFR", "ER": "AFR", "SZ": "AFR", "ET": "AFR", "GA": "AFR", "GM": "AFR", "GH": "AFR", "GN": "AFR", "GW": "AFR", "KE": "AFR",
+    "LS": "AFR", "LR": "AFR", "MG": "AFR", "MW": "AFR", "ML": "AFR", "MR": "AFR", "MU": "AFR", "MZ": "AFR", "NA": "AFR", "NE": "AFR", "NG": "AFR", "RW": "AFR",
+    "ST": "AFR", "SN": "AFR", "SC": "AFR", "SL": "AFR", "ZA": "AFR", "SS": "AFR", "TG": "AFR", "UG": "AFR", "TZ": "AFR", "ZM": "AFR", "ZW": "AFR",
+    "AG": "AMR", "AR": "AMR", "BS": "AMR", "BB": "AMR", "BZ": "AMR", "BO": "AMR", "BR": "AMR", "CA": "AMR", "CL": "AMR", "CO": "AMR", "CR": "AMR", "CU": "AMR",
+    "DM": "AMR", "DO": "AMR", "EC": "AMR", "SV": "AMR", "GD": "AMR", "GT": "AMR", "GY": "AMR", "HT": "AMR", "HN": "AMR", "JM": "AMR", "MX": "AMR", "NI": "AMR",
+    "PA": "AMR", "PY": "AMR", "PE": "AMR", "KN": "AMR", "LC": "AMR", "VC": "AMR", "SR": "AMR", "TT": "AMR", "US": "AMR", "UY": "AMR", "VE": "AMR",
+    "BD": "SEAR", "BT": "SEAR", "KP": "SEAR", "IN": "SEAR", "ID": "SEAR", "MV": "SEAR", "MM": "SEAR", "NP": "SEAR", "LK": "SEAR", "TH": "SEAR", "TL": "SEAR",
+    "AL": "EUR", "AD": "EUR", "AM": "EUR", "AT": "EUR", "AZ": "EUR", "BY": "EUR", "BE": "EUR", "BA": "EUR", "BG": "EUR", "HR": "EUR", "CY": "EUR", "CZ": "EUR",
+    "DK": "EUR", "EE": "EUR", "FI": "EUR", "FR": "EUR", "GE": "EUR", "DE": "EUR", "GR": "EUR", "HU": "EUR", "IS": "EUR", "IE": "EUR", "IL": "EUR", "IT": "EUR",
+    "KZ": "EUR", "KG": "EUR", "LV": "EUR", "LT": "EUR", "LU": "EUR", "MT": "EUR", "MC": "EUR", "ME": "EUR", "NL": "EUR", "MK": "EUR", "NO": "EUR", "PL": "EUR",
+    "PT": "EUR", "MD": "EUR", "RO": "EUR", "RU": "EUR", "SM": "EUR", "RS": "EUR", "SK": "EUR", "SI": "EUR", "ES": "EUR", "SE": "EUR", "CH": "EUR", "TJ": "EUR",
+    "TR": "EUR", "TM": "EUR", "UA": "EUR", "GB": "EUR", "UZ": "EUR",
+    "AF": "EMR", "BH": "EMR", "DJ": "EMR", "EG": "EMR", "IR": "EMR", "IQ": "EMR", "JO": "EMR", "KW": "EMR", "LB": "EMR", "LY": "EMR", "MA": "EMR", "OM": "EMR",
+    "PK": "EMR", "PS": "EMR", "QA": "EMR", "SA": "EMR", "SO": "EMR", "SD": "EMR", "SY": "EMR", "TN": "EMR", "AE": "EMR", "YE": "EMR",
+    "AU": "WPR", "BN": "WPR", "KH": "WPR", "CN": "WPR", "CK": "WPR", "FJ": "WPR", "JP": "WPR", "KR": "WPR", "LA": "WPR", "MY": "WPR", "MH": "WPR", "FM": "WPR",
+    "MN": "WPR", "NR": "WPR", "NZ": "WPR", "NU": "WPR", "PW": "WPR", "PG": "WPR", "PH": "WPR", "WS": "WPR", "SG": "WPR", "SB": "WPR", "TO": "WPR", "TV": "WPR",
+    "VU": "WPR", "VN": "WPR", "TW": "WPR",
+}
 REGION_NAMES = {
     "AFR": "African Region",
     "AMR": "Region of the Americas",
@@ -197,10 +209,14 @@ REGION_NAMES = {
     "EMR": "Eastern Mediterranean Region",
     "WPR": "Western Pacific Region",
 }
-INCOME_COUNTRIES = {
-    "HIC": "US GB DE JP AU CA FR IT KR NL SE CH DK NO FI SG IL NZ AT BE IE ES PT CZ PL SA AE QA KW BH TW",
-    "UMIC": "CN BR MX TR MY TH ZA CO RU AR IR IQ RO KZ",
-    "LMIC": "IN PK BD VN EG NG PH ID KE GH NP LK MA TN MM ET",
-}
+COUNTRY_INCOMES = {
+    "US": "HIC", "GB": "HIC", "DE": "HIC", "JP": "HIC", "AU": "HIC", "CA": "HIC", "FR": "HIC", "IT": "HIC", "KR": "HIC", "NL": "HIC", "SE": "HIC", "CH": "HIC",
+    "DK": "HIC", "NO": "HIC", "FI": "HIC", "SG": "HIC", "IL": "HIC", "NZ": "HIC", "AT": "HIC", "BE": "HIC", "IE": "HIC", "ES": "HIC", "PT": "HIC", "CZ": "HIC",
+    "PL": "HIC", "SA": "HIC", "AE": "HIC", "QA": "HIC", "KW": "HIC", "BH": "HIC", "TW": "HIC",
+    "CN": "UMIC", "BR": "UMIC", "MX": "UMIC", "TR": "UMIC", "MY": "UMIC", "TH": "UMIC", "ZA": "UMIC", "CO": "UMIC", "RU": "UMIC", "AR": "UMIC", "IR": "UMIC", "IQ": "UMIC",
+    "RO": "UMIC", "KZ": "UMIC",
+    "IN": "LMIC", "PK": "LMIC", "BD": "LMIC", "VN": "LMIC", "EG": "LMIC", "NG": "LMIC", "PH": "LMIC", "ID": "LMIC", "KE": "LMIC", "GH": "LMIC", "NP": "LMIC", "LK": "LMIC",
+    "MA": "LMIC", "TN": "LMIC", "MM": "LMIC", "ET": "LMIC",
+}
 REGIONS = ["AFR", "AMR", "EMR", "EUR", "SEAR", "WPR", "Unknown"]
 INCOMES = ["HIC", "UMIC", "LMIC", "LIC", "Unknown"]

@@ -31,9 +31,18 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.regexp_count(trimmed, F.lit(r"\s+")) + 1)
 
 
+#: White space of any kind.
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def sentences(text: Column, longer_than: int) -> Column:
     """T3."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _SPLIT), lambda x: F.trim(x)), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _SPLIT), trimmed), lambda s: F.length(s) > longer_than)
 
 
 def lowered(text: Column) -> Column:
@@ -149,7 +158,7 @@ def _lengths(parts: Column) -> Column:
 
 def uniformity(text: Column) -> dict[str, Column]:
     """T5."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda x: F.trim(x)), lambda p: F.length(p) > 20)
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), trimmed), lambda p: F.length(p) > 20)
     first = F.slice(F.transform(words(text), F.lower), 1, 1000)
     enough = F.length(F.coalesce(text, F.lit(""))) >= 100
     zero = lambda c: F.when(enough, c).otherwise(0.0)

@@ -52,6 +52,24 @@ def by_group(df: DataFrame, group: str, score: str, threshold: float = 0.5, leas
     return rows.where(F.col("n_papers") >= least).orderBy(F.desc("prevalence_pct"), group)
 
 
+def summaries(df: DataFrame, groups: list[str], score: str, threshold: float = 0.5) -> DataFrame:
+    """A1-A3, A7, A11 in one scan: grouping (a column's name, or all), value, and by_group()'s figures for each value of each column.
+
+    Rows are expanded once for each grouping after the scan and added up before the one shuffle. Null groups are dropped."""
+    p = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(p.alias("_p"), flag(score, threshold).cast("long").alias("_f"), *(F.col(g).cast("string").alias(g) for g in groups))
+    pairs = F.array(*(F.struct(F.lit(g).alias("grouping"), F.col(g).alias("value")) for g in groups), F.struct(F.lit("all").alias("grouping"), F.lit(None).cast("string").alias("value")))
+    long = rows.select("_p", "_f", F.inline(pairs)).where(F.col("value").isNotNull() | (F.col("grouping") == "all"))
+    n, hit = F.count(F.lit(1)), F.sum("_f")
+    return long.groupBy("grouping", "value").agg(n.alias("n_papers"), hit.alias("n_flagged"), steady(F.avg("_p")).alias("mean_prob"), percent(hit, n).alias("prevalence_pct"))
+
+
+def means(df: DataFrame, columns: list[str], above: dict[str, float] | None = None) -> DataFrame:
+    """One row with the number of rows, the columns' means, and how many rows are above a value."""
+    counts = (F.coalesce(F.sum((F.col(c) > v).cast("long")), F.lit(0)).alias(f"n_{c}") for c, v in (above or {}).items())
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *(steady(F.avg(c)).alias(f"mean_{c}") for c in columns), *counts)
+
+
 def with_share(df: DataFrame, group: str, score: str, threshold: float = 0.5, least: int = 20) -> DataFrame:
     """A10: also the share of all rows, taken before small groups go."""
     rows = by_group(df, group, score, threshold, 0)

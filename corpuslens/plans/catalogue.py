@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, table_queries, text_queries
+from . import collection_queries, graph_queries, table_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **graph_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES, **graph_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **table_queries.QUERIES, **graph_queries.QUERIES, **collection_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **table_queries.ORACLES, **graph_queries.ORACLES, **collection_queries.ORACLES}

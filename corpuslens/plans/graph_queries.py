@@ -12,7 +12,7 @@ from ..operators import models, scoring
 from ..operators import similarity as N
 from ..operators.storage import spread
 from .table_queries import labelled, read
-from .text_queries import PATTERNS, PHRASES, W, q, r
+from .text_queries import PATTERNS, PHRASES, WHITE, W, q, r
 
 QUERIES, ORACLES = {}, {}
 COLUMNS = ["n_chars", "boilerplate_density", "vocabulary_diversity", "sentence_length_cv", "ai_mean_word_length", "ai_hapax_ratio"]
@@ -88,7 +88,7 @@ def self_citation(spark: SparkSession, d: str) -> DataFrame:
 
 
 _stop = ", ".join(map(q, N.STOP_WORDS))
-_tfidf = lambda most, longer: f"""d AS (SELECT doc_id, text AS t FROM documents WHERE length(trim(coalesce(text, ''))) > {longer}),
+_tfidf = lambda most, longer: f"""d AS (SELECT doc_id, text AS t FROM documents WHERE length(trim(coalesce(text, ''), {WHITE})) > {longer}),
 w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(t), '[{W}]{{2,}}'), lambda x: x NOT IN ({_stop})) AS w FROM d),
 terms AS (SELECT doc_id, unnest(w || CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END) AS term FROM w),
 c AS (SELECT doc_id AS doc, term, count(*) AS n FROM terms GROUP BY ALL),

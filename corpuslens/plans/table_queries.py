@@ -124,8 +124,8 @@ def region_prevalence(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CODES = ["US", "CN", "in", " BR ", "ET", "FR", "XX", "", "CN;US", "US; ;CN"]
-_income = " ".join(f"WHEN upper(trim(code)) IN ({', '.join(map(q, c.split()))}) THEN {q(g)}" for g, c in V.INCOME_COUNTRIES.items())
-_region = " ".join(f"WHEN upper(trim(code)) IN ({', '.join(map(q, c.split()))}) THEN {q(g)}" for g, c in V.REGION_COUNTRIES.items())
+_income = " ".join(f"WHEN upper(trim(code)) = {q(c)} THEN {q(g)}" for c, g in V.COUNTRY_INCOMES.items())
+_region = " ".join(f"WHEN upper(trim(code)) = {q(c)} THEN {q(g)}" for c, g in V.COUNTRY_REGIONS.items())
 
 
 @query(f"WITH {ORDERS}, j AS (SELECT CASE {_income} ELSE 'Unknown' END AS income_group, score FROM (SELECT *, [{', '.join(map(q, _CODES))}][c_nationkey % 10 + 1] AS code FROM o JOIN customer ON o_custkey = c_custkey)) " + _group_sql("j", "income_group", 20, 0.5, where="AND income_group <> 'Unknown'"))
@@ -178,15 +178,15 @@ def class_report(spark: SparkSession, d: str) -> DataFrame:
     return M.class_report(labelled(spark, d), "quality", "score")
 
 
-_FREQ = f"f AS (SELECT score AS p, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM d WHERE quality = 1), e AS (SELECT {r('least(greatest(avg(p), 0.01), 1.0)')} AS e1, {r('least(greatest(max(p), 0.01), 1.0)')} AS e2, {r('least(greatest(avg(p) FILTER (r <= greatest(n // 2, 1)), 0.01), 1.0)')} AS e3 FROM f)"
+_FREQ = f"f AS (SELECT score AS p, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM d WHERE quality = 1), e AS (SELECT least(greatest(avg(p), 0.01), 1.0) AS e1, least(greatest(max(p), 0.01), 1.0) AS e2, least(greatest(avg(p) FILTER (r <= greatest(n // 2, 1)), 0.01), 1.0) AS e3 FROM f)"
 
 
-@query(f"WITH {DOCS}, {_FREQ} SELECT * FROM e")
+@query(f"WITH {DOCS}, {_FREQ} SELECT {r('e1')} AS e1, {r('e2')} AS e2, {r('e3')} AS e3 FROM e")
 def label_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return M.label_frequency(labelled(spark, d), "quality", "score", "doc_id")
+    return M.label_frequency(labelled(spark, d), "quality", "score", "doc_id").select(*(steady(F.col(c)).alias(c) for c in ("e1", "e2", "e3")))
 
 
-@query(f"WITH {DOCS}, {_FREQ} SELECT max(e3) AS label_frequency, {r('avg(score)')} AS raw_prevalence, {r('avg(least(greatest(score / e3, 0), 1))')} AS corrected_prevalence, {r('greatest(sum(least(greatest(score / e3, 0), 1)) - sum(coalesce(quality, 0)), 0)', 4)} AS dark_figure FROM d, e")
+@query(f"WITH {DOCS}, {_FREQ} SELECT {r('max(e3)')} AS label_frequency, {r('avg(score)')} AS raw_prevalence, {r('avg(least(greatest(score / e3, 0), 1))')} AS corrected_prevalence, {r('greatest(sum(least(greatest(score / e3, 0), 1)) - sum(coalesce(quality, 0)), 0)', 4)} AS dark_figure FROM d, e")
 def pu_correct(spark: SparkSession, d: str) -> DataFrame:
     return M.pu_summary(labelled(spark, d), "quality", "score", "doc_id")
 

@@ -113,12 +113,13 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+WHITE = " || ".join(f"chr({ord(c)})" for c in T.WHITE)
 W = r"\p{L}\p{M}\p{N}_"
 WORDS = r"len(regexp_extract_all({}, '\S+'))"
 
 
 def _sentences(longer: int) -> str:
-    return rf"list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > {longer})"
+    return rf"list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, {WHITE})), lambda x: length(x) > {longer})"
 
 
 def _cv(lens: str, least: int) -> str:
@@ -128,7 +129,7 @@ def _cv(lens: str, least: int) -> str:
 
 BASE = "d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)"
 UNIFORM = rf"""u0 AS (SELECT doc_id, t, list_transform({_sentences(10)}, lambda x: {WORDS.format('x')}) AS lens,
-  list_transform(list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: trim(x)), lambda x: length(x) > 20), lambda x: {WORDS.format('x')}) AS plens,
+  list_transform(list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: trim(x, {WHITE})), lambda x: length(x) > 20), lambda x: {WORDS.format('x')}) AS plens,
   list_slice(list_transform(regexp_extract_all(t, '\S+'), lambda x: lower(x)), 1, 1000) AS f FROM d),
 u AS (SELECT doc_id, CASE WHEN length(t) >= 100 THEN {_cv('lens', 3)} ELSE 0.0 END AS sentence_length_cv,
   CASE WHEN length(t) >= 100 THEN {_cv('plens', 2)} ELSE 0.0 END AS paragraph_length_cv,

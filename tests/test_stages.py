@@ -63,6 +63,20 @@ def test_run_with_labels(spark, landed):
     assert sorted(c for c, _ in out.evaluation.importances) == sorted(scoring.predictors(out.predictions)) and "roc_auc" in out.evaluation.summary()
 
 
+def test_files_to_files(spark, landed, tmp_path):
+    """From landed works and a label file, with a date out of range and a column name of its own kind, to written tables."""
+    landed.write.json(str(tmp_path / "works"))
+    rows = [f'10.1/{i},"Deep learning\nin medicine",paper mill,{"1/1/2021" if i else "1/1/1990"}' for i in range(0, 40, 4)]
+    (tmp_path / "labels.csv").write_text("Original Paper DOI,Article Title,Reason,Date of retraction\n" + "\n".join(rows) + "\n")
+    stages.run_files(spark, str(tmp_path / "works"), str(tmp_path / "out"), str(tmp_path / "labels.csv"), settings=SMALL)
+    back = {r.paper_id: r for r in spark.read.parquet(str(tmp_path / "out" / "predictions")).collect()}
+    assert len(back) == 40 and {k for k, r in back.items() if r.is_retracted} == {f"W{i}" for i in range(4, 40, 4)}
+    csv = readers.predictions(spark, str(tmp_path / "out" / "predictions_csv"), spark.read.parquet(str(tmp_path / "out" / "predictions")).schema)
+    assert {r.paper_id: r.flagged for r in csv.collect()} == {k: r.flagged for k, r in back.items()}
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "overall")).first().n_total == "40"
+    assert spark.read.json(str(tmp_path / "out" / "evaluation")).first().n_positive == 9 and spark.read.json(str(tmp_path / "out" / "class_report")).count() == 2
+
+
 def test_run_without_labels(spark, landed):
     two = spark.createDataFrame([("10.1/1", None, "mill"), ("10.1/2", None, "mill")], "doi string, pmid string, reason string")
     for given in (None, two):
