@@ -28,7 +28,7 @@ MIN_CHARS = 24
 #: Letters and digits whose numbers are compared before two lines are.
 LETTERS, DIGITS = "eainotrshlducmgw", "0123456789"
 #: Rows of a key whose lines are compared with each other; those of larger keys are told apart by the rest of the line first.
-FEW = 32
+FEW = 200
 
 
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
