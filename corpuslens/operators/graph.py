@@ -51,11 +51,20 @@ def author_list(author_ids: Column, first_author: Column) -> Column:
     return F.when(F.size(listed) > 0, listed).otherwise(alone)
 
 
-def author_pairs(papers: DataFrame, paper: str = "paper", author: str = "author") -> DataFrame:
-    """paper, a, b with a < b: distinct co-authors of each paper, paired within the paper's own array."""
+def author_pairs(papers: DataFrame, paper: str = "paper", author: str = "author", block: int = 256) -> DataFrame:
+    """paper, a, b with a < b: distinct co-authors of each paper.
+
+    A list of up to `block` authors is paired within its own row. A longer one is cut into blocks in order, and each pair of
+    blocks becomes a row dealt to the tasks anew, so no row holds more than two blocks and no task all pairs of a paper."""
     one = papers.where(F.col(author).isNotNull()).groupBy(F.col(paper).alias("paper")).agg(F.sort_array(F.collect_set(author)).alias("of"))
-    pairs = F.flatten(F.transform("of", lambda x, i: F.transform(F.slice("of", i + 2, F.size("of")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return one.select("paper", F.explode(pairs).alias("p")).select("paper", "p.a", "p.b")
+    short = one.where(F.size("of") <= block).select("paper", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("of").alias("x"), F.col("of").alias("y"))
+    cut = lambda k: F.slice("of", F.col(k) * block + 1, F.lit(block))
+    last = F.floor((F.size("of") - 1) / block).cast("int")
+    long = one.where(F.size("of") > block).withColumn("i", F.explode(F.sequence(F.lit(0), last))).withColumn("j", F.explode(F.sequence("i", last)))
+    long = long.select("paper", "i", "j", cut("i").alias("x"), cut("j").alias("y")).repartition("paper", "i", "j")
+    firsts = short.unionByName(long).select("paper", "i", "j", "y", F.posexplode("x").alias("at", "a"))
+    rest = F.when(F.col("i") == F.col("j"), F.slice("y", F.col("at") + 2, F.size("y"))).otherwise(F.col("y"))
+    return firsts.select("paper", "a", F.explode(rest).alias("b"))
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import steady
+from .quantiles import quantiles
 
 
 def flag(score: str, threshold: float = 0.5) -> Column:
@@ -107,27 +111,80 @@ def two_sides(df: DataFrame, side: str, score: str, threshold: float = 0.5) -> D
 
 
 def quartile(df: DataFrame, value: str, name: str = "quartile") -> DataFrame:
-    """Right-closed cuts at the linear 25, 50 and 75 % points of the value, negatives as 0; ties share a quartile."""
-    v = F.greatest(F.col(value).cast("double"), F.lit(0.0))
-    cuts = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_cut"))  # one row
-    label = F.when(v <= F.col("_cut")[0], "Q1").when(v <= F.col("_cut")[1], "Q2").when(v <= F.col("_cut")[2], "Q3").when(v.isNotNull(), "Q4")
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, label).drop("_cut")
-
-
-def poisson_bootstrap(df: DataFrame, key: str, value: Column, replicates: int = 200) -> DataFrame:
-    """B1: low, high: 2.5 and 97.5 % points of resampled means. Each row's weight in a replicate is Poisson(1), from a
-    hash of its key, so that the result does not depend on partitioning. Sums are map-side; a replicate is one row."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.col("b").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight, total, chance = F.lit(8), 0.0, float(np.exp(-1))
-    cuts = []
+    """Right-closed cuts at the linear 25, 50 and 75 % points of the value, negatives as 0; ties share a quartile, missing values have none."""
+    v = F.greatest(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+    v = F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), v)
+    cuts = quantiles(df, v, [0.25, 0.5, 0.75])
+    if cuts[0] is None:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    return df.withColumn(name, F.when(v <= cuts[0], "Q1").when(v <= cuts[1], "Q2").when(v <= cuts[2], "Q3").when(v.isNotNull(), "Q4"))
+
+
+#: Odd 32-bit constants of the counter-based generator: a step for each replicate, and two multipliers of its mixing.
+STEP, MIX = 0x9E3779B9, (0x7FEB352D, 0x846CA68B)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Well mixed 32-bit numbers, in place."""
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(MIX[0])
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(MIX[1])
+    h ^= h >> np.uint32(16)
+    return h
+
+
+def poisson_cuts() -> list[float]:
+    """Poisson(1): a uniform number's weight is the number of cuts that are not above it, 8 at most."""
+    total, chance, cuts = 0.0, float(np.exp(-1)), []
     for k in range(8):
         total += chance
-        cuts.append((round(total, 12), k))
+        cuts.append(round(total, 12))
         chance /= k + 1
-    for cut, k in reversed(cuts):
-        weight = F.when(draw < cut, k).otherwise(weight)
-    rows = df.select(F.col(key), value.cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).withColumn("w", weight)
-    means = rows.groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    return cuts
+
+
+def _replicate_sums(replicates: int, rows_at_once: int = 512):
+    """For each partition a row for each replicate: the sum of weights and the sum of weighted values of all its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = np.arange(replicates, dtype=np.uint32) * np.uint32(STEP)
+        bounds = (np.array(poisson_cuts()) * 2.0**32).astype(np.uint64)
+        weights, sums, some = np.zeros(replicates), np.zeros(replicates), False
+        for batch in batches:
+            first, second, value = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for at in range(0, len(value), rows_at_once):
+                part = slice(at, at + rows_at_once)
+                h = _mixed(first[part].astype(np.uint32)[:, None] + numbers[None, :])
+                h = _mixed(h ^ second[part].astype(np.uint32)[:, None])
+                w = np.zeros(h.shape, dtype=np.int8)
+                for bound in bounds:
+                    w += h > np.uint32(bound)
+                weights += w.sum(axis=0, dtype=np.int64)
+                sums += value[part] @ w
+                some = True
+        if some:
+            yield pa.RecordBatch.from_pydict({"b": np.arange(replicates, dtype=np.int32), "w": weights, "v": sums})
+
+    return run
+
+
+def poisson_replicates(df: DataFrame, key: str, value: Column, replicates: int = 2000) -> DataFrame:
+    """b, m: each replicate's mean of the value, in one scan. Rows without a value or with NaN do not count; no rows, no replicates.
+
+    A row's weight in a replicate is Poisson(1), from 64 bits of its key's hash and the replicate's number, so that the result
+    does not depend on partitioning; rows of one key share their weights. A partition gives one sum a replicate, whatever its rows."""
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    v = F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    rows = df.select(word(1).alias("first"), word(9).alias("second"), v.alias("v")).where("v IS NOT NULL")
+    parts = rows.mapInArrow(_replicate_sums(replicates), "b int, w double, v double")
+    return parts.groupBy("b").agg(F.try_divide(F.sum("v"), F.sum("w")).alias("m"))
+
+
+def poisson_bootstrap(df: DataFrame, key: str, value: Column, replicates: int = 2000) -> DataFrame:
+    """B1: low, high: 2.5 and 97.5 % points of poisson_replicates()."""
+    means = poisson_replicates(df, key, value, replicates)  # a row for each replicate
     return means.agg(steady(F.percentile("m", 0.025)).alias("ci_low"), steady(F.percentile("m", 0.975)).alias("ci_high"))
 
 

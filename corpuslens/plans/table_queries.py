@@ -11,6 +11,7 @@ from ..functions.text import steady
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import stats as S
+from ..operators.quantiles import quantile_table
 from .text_queries import q, r
 
 
@@ -66,19 +67,38 @@ def prevalence_by_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _poisson_sql(replicates: int) -> str:
-    total, chance, cuts = 0.0, 0.36787944117144233, []
-    for k in range(8):
-        total += chance
-        cuts.append(f"WHEN u < {round(total, 12)} THEN {k}")
-        chance /= k + 1
-    return f"""WITH {DOCS}, x AS (SELECT b, (score >= 0.5)::INTEGER::DOUBLE AS v, ('0x' || substr(md5(doc_id || '-' || b), 1, 8))::BIGINT / 4294967296.0 AS u FROM d, range({replicates}) AS t(b)),
-w AS (SELECT b, v, CASE {' '.join(cuts)} ELSE 8 END AS w FROM x), m AS (SELECT b, sum(w * v) / sum(w) AS m FROM w GROUP BY b)
+    """The weights step by step, so that no expression is written twice."""
+    step = lambda name, of, e: f"{name} AS (SELECT b, v, s2, {e} AS h FROM {of})"
+    mixed, last = [], "x0"
+    for turn in range(2):
+        for shift, by in ((16, S.MIX[0]), (15, S.MIX[1]), (16, None)):
+            name = f"x{len(mixed) + 1}"
+            e = f"xor(h, h >> {shift})"
+            mixed.append(step(name, last, f"({e} * {by}::UBIGINT) & 4294967295::UBIGINT" if by else e))
+            last = name
+        if not turn:
+            name = f"x{len(mixed) + 1}"
+            mixed.append(step(name, last, "xor(h, s2)"))
+            last = name
+    cuts = " + ".join(f"(h > {int(c * 2.0**32)})::INTEGER" for c in S.poisson_cuts())
+    return f"""WITH {DOCS}, k AS (SELECT (score >= 0.5)::INTEGER::DOUBLE AS v, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT AS s1, ('0x' || substr(md5(doc_id::VARCHAR), 9, 8))::UBIGINT AS s2 FROM d),
+x0 AS (SELECT b, v, s2, (s1 + b::UBIGINT * {S.STEP}::UBIGINT) & 4294967295::UBIGINT AS h FROM k, range({replicates}) AS t(b)), {', '.join(mixed)},
+w AS (SELECT b, v, {cuts} AS w FROM {last}), m AS (SELECT b, sum(w * v) / sum(w) AS m FROM w GROUP BY b)
 SELECT {r('quantile_cont(m, 0.025)')} AS ci_low, {r('quantile_cont(m, 0.975)')} AS ci_high FROM m"""
 
 
-@query(_poisson_sql(200))
+@query(_poisson_sql(2000))
 def bootstrap_ci_poisson(spark: SparkSession, d: str) -> DataFrame:
-    return S.poisson_bootstrap(labelled(spark, d), "doc_id", S.flag("score").cast("int"), 200)
+    return S.poisson_bootstrap(labelled(spark, d), "doc_id", S.flag("score").cast("int"))
+
+
+_POINTS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+
+
+@query(" UNION ALL ".join(f"SELECT {p}::DOUBLE AS point, {r(f'quantile_cont(l_extendedprice, {p})', 4)} AS value FROM lineitem" for p in _POINTS))
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    out = quantile_table(read(spark, d, "lineitem"), F.col("l_extendedprice"), _POINTS)
+    return out.withColumn("value", steady(F.col("value"), 4))
 
 
 @query(f"""WITH {ORDERS}, c AS (SELECT count(*) FILTER (year < 1998) AS n0, count(*) FILTER (year < 1998 AND score >= 0.5) AS x0, count(*) FILTER (year >= 1998) AS n1, count(*) FILTER (year >= 1998 AND score >= 0.5) AS x1 FROM o),
