@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions import text as T
 from ..functions.text import steady
 from ..operators import collection as C
 from ..operators import graph as G
 from ..operators import lexicon as X
 from ..operators import metrics as M
 from ..operators import stats as S
+from ..operators.manifest import Manifest
+from ..operators.storage import shared_folder
+from ..sources.readers import write_table
+from . import text_queries
 from .graph_queries import edges
 from .table_queries import _BY, DOCS, labelled, read
 from .text_queries import PHRASES, WORDS, W, docs, q, r
@@ -128,3 +135,25 @@ x AS (SELECT class, count(*) FILTER (quality = class AND z = class) AS hit, coun
 SELECT class, {r('coalesce(hit::DOUBLE / nullif(predicted, 0), 0)')} AS precision, {r('coalesce(hit::DOUBLE / nullif(support, 0), 0)')} AS recall, {r('2.0 * hit / (predicted + support)')} AS f1, support FROM x""")
 def class_report_at_best(spark: SparkSession, d: str) -> DataFrame:
     return M.report_at_best(labelled(spark, d), "quality", "score")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) AS orders FROM lineitem WHERE year(l_shipdate) = 1995 AND l_suppkey BETWEEN 3 AND 60 GROUP BY l_returnflag, l_linestatus")
+def published_year(spark: SparkSession, d: str) -> DataFrame:
+    """K1: the line items published by year of shipping and ranges of suppliers, read back by one year and some suppliers."""
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year"))
+    write_table(lines, path, by=["year"], order=["l_suppkey"])
+    rows = spark.read.parquet(path).where((F.col("year") == 1995) & F.col("l_suppkey").between(3, 60))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.count_distinct("l_orderkey").alias("orders"))
+
+
+@query(text_queries.ORACLES["ai_text_features"])
+def kept_text_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The signals of every document's text, kept by content: first of the texts of labelled documents, then of what is new."""
+    book = Manifest(spark, f"{shared_folder(spark)}/signals-{uuid.uuid4().hex}")
+    made = T.generated_signals(F.col("text"))
+    signals = lambda rows: T.prepared(rows, F.col("text")).select("_digest", "text", *(c.alias(k) for k, c in made.items()))
+    whole, labelled_ids = docs(spark, d).select("doc_id", "text"), read(spark, d, "labels").select("doc_id").distinct()
+    book.by_content("signals", whole.join(labelled_ids, "doc_id", "left_semi"), ["text"], "generated", signals)
+    out = book.by_content("signals", whole, ["text"], "generated", signals)
+    return out.select("doc_id", *((F.col(k) if k == "ai_phrase_count" else steady(F.col(k))).alias(k) for k in made))
