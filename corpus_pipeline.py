@@ -32,10 +32,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup on five words and a similarity of 0.8: the first document of each group stays.
 
-    Rows are named by id and text, so a unique text stays where another row has its id; rows with null id stay."""
-    gone = minhash_dedup.near_duplicates(docs).where("not first").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    Rows are named by id and text, so a unique text stays where another row has its id, and of rows alike in both one stays,
+    texts without words included; rows with null id stay."""
+    found = minhash_dedup.near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    named_apart = found.agg(F.bool_and("first").alias("_first"), F.count(F.lit(1)).alias("_n")).where("not _first or _n > 1")
     named = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_tag"))
-    return named.join(gone.hint("shuffle_hash"), ["_id", "_tag"], "left_anti").select("doc.*")
+    rows = named.join(named_apart.hint("shuffle_hash"), ["_id", "_tag"], "left")
+    once = rows.where("_first").groupBy("_id", "_tag").agg(F.first("doc").alias("doc"))
+    return rows.where("_first is null").select("doc.*").unionByName(once.select("doc.*"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
