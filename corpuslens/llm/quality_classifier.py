@@ -1,17 +1,20 @@
 """Operator 7: a quality classifier from trusted positives and unlabelled text (positive-unlabelled learning).
 
-Features are counts over words and lines, and shares of hashed word shapes and of hashed words. The class prior is estimated by the best bin of
-a first positive-against-unlabelled classifier (the least ratio of unlabelled to positive rows above a score, with a
-confidence term); then a linear model minimises the non-negative unbiased risk
+Features are counts over words and lines, and shares of hashed word shapes and of hashed words. The class prior is estimated
+by the best bin of first positive-against-unlabelled classifiers (the least ratio of unlabelled to positive rows above a
+score, with a confidence term): ids fall into halves by hash, each half's sample fits a classifier, and it ranks every
+document of the other half, whose ranks are added up as a histogram; the prior is the mean of both. Then a linear model
+minimises the non-negative unbiased risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
 Fitting uses bounded samples, POSITIVES and UNLABELLED documents with the smallest hashes of their ids; their feature rows
-meet in one task, and the model alone reaches the driver. All documents are scored.
+are stored and meet in one task. The prior rests on all unlabelled documents and all positives. The models and the
+histograms of BINS bins alone reach the driver. All documents are scored.
 
-Defined results: null texts count as empty and are scored like any text; rows with null id are never in a sample; without
-positives or unlabelled text all scores are 0.5; equal texts have equal scores; an empty table gives an empty result; other
-columns are ignored.
+Defined results: null texts count as empty and are scored like any text; rows with null id are never used to learn; with
+fewer than two sampled positives or unlabelled texts in a half all scores are 0.5; equal texts have equal scores; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import remainder, smallest, table
+from ._io import discard, remainder, smallest, stored, table
 
 #: Bounds of the samples, in documents.
 POSITIVES, UNLABELLED = 8_000, 16_000
 #: Buckets of word shapes and of words.
 SHAPES, WORDS = 64, 256
+#: Bins of the histograms behind the class prior.
+BINS = 4096
 #: Shrinkage of weights, and of those of word buckets, which are many.
 DECAY, WORD_DECAY = 1e-4, 1e-2
 _DENSE = 14
@@ -47,13 +53,18 @@ def _word(word: str) -> tuple[float, ...]:
     return len(word), bool(_SYMBOL.search(word)), word.endswith("!!"), len(word) > 1 and word.isupper(), any(c.isdigit() for c in word), word[-1:] in ".!?", not any(c.isalnum() for c in word), zlib.crc32(shape.encode()) % SHAPES, zlib.crc32(word.lower().encode()) % WORDS
 
 
+#: Words that a task meets again and again; longer ones are not held.
+_met = lru_cache(50_000)(_word)
+_HELD = 32
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """A row for each text."""
     texts = pc.fill_null(texts, "")
     split = pc.ascii_split_whitespace(texts)
     words = split.flatten().dictionary_encode()
     n, distinct = len(texts), words.dictionary.to_pylist()
-    of = np.array([_word(w) for w in distinct], float).reshape(-1, 9)
+    of = np.array([_met(w) if len(w) <= _HELD else _word(w) for w in distinct], float).reshape(-1, 9)
     code = words.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))
     full = of[code, 0] > 0  # no word comes from the ends of a text
@@ -85,8 +96,24 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -50, 50)))
 
 
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float | None) -> np.ndarray:
+    """Of the non-negative risk with the logistic loss: where its second part is below zero, the step that raises this part
+    again. Without a prior, of plain positive against unlabelled."""
+    zp, zu = p @ w, u @ w
+    up = p.T @ (_sigmoid(zp) - 1) / len(p)  # gradient of R+ on positives
+    down_p, down_u = p.T @ _sigmoid(zp) / len(p), u.T @ _sigmoid(zu) / len(u)  # of R-
+    if prior is None:
+        return up + down_u
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return prior * up + (down_u - prior * down_p) if negative >= 0 else prior * down_p - down_u
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int = 400, rate: float = 0.05) -> Linear:
-    """Full-batch Adam on the non-negative risk with the logistic loss; without a prior, on plain positive against unlabelled."""
+    """Full-batch Adam."""
     both = np.concatenate([positive, unlabelled])
     model = Linear(both.mean(0), both.std(0) + 1e-6)
     p, u = (np.column_stack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones(len(x))]) for x in (positive, unlabelled))
@@ -94,62 +121,92 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, roun
     decay = np.full(p.shape[1], DECAY)
     if p.shape[1] == WIDTH + 1:
         decay[WIDTH - WORDS : WIDTH] = WORD_DECAY
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for t in range(1, rounds + 1):
-        zp, zu = p @ w, u @ w
-        up = p.T @ (sigmoid(zp) - 1) / len(p)  # gradient of R+ on positives
-        down_p, down_u = p.T @ sigmoid(zp) / len(p), u.T @ sigmoid(zu) / len(u)  # of R-
-        if prior is None:
-            g = up + down_u
-        else:
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            g = prior * up + (down_u - prior * down_p) if negative >= 0 else prior * down_p - down_u
-        g = g + decay * w
+        g = risk_gradient(w, p, u, prior) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     model.weight, model.bias = w[:-1], float(w[-1])
     return model
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Best bin estimate: half of each sample fits, the other half is ranked."""
-    model = _fit(positive[::2], unlabelled[::2], None)
-    p, u = np.sort(model.margin(positive[1::2])), np.sort(model.margin(unlabelled[1::2]))
-    above_p = 1 - np.searchsorted(p, p, side="left") / len(p)
-    above_u = 1 - np.searchsorted(u, p, side="left") / len(u)
-    slack = lambda n: np.sqrt(np.log(4 / 0.1) / (2 * n))
-    bound = (above_u + slack(len(u)) + slack(len(p))) / above_p
-    best = int(np.argmin(np.where(above_p > 0, bound, np.inf)))
+def bins(margin: np.ndarray) -> np.ndarray:
+    return ((np.tanh(margin / 8) + 1) / 2 * (BINS - 1)).astype(np.int32)
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from the numbers of positive and of unlabelled rows in each bin, least scores first."""
+    p, u = positive[::-1].cumsum()[::-1], unlabelled[::-1].cumsum()[::-1]  # rows of a bin or more
+    slack = np.sqrt(np.log(4 / 0.1) / (2 * u[0])) + np.sqrt(np.log(4 / 0.1) / (2 * p[0]))
+    at = np.flatnonzero(p)
+    above_p, above_u = p[at] / p[0], u[at] / u[0]
+    best = int(np.argmin((above_u + slack) / above_p))
     return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
+def _model(row) -> Linear:
+    model = Linear(np.array(row.mean), np.array(row.scale))
+    model.weight, model.bias = np.array(row.weight), row.bias
+    return model
+
+
+_MODEL = pa.schema([("half", pa.int32()), *((c, pa.list_(pa.float64())) for c in ("mean", "scale", "weight")), ("bias", pa.float64())])
+
+
+def _fitted(rows: DataFrame, prior: float | None) -> list:
+    """rows: half, known, x of the bounded samples. Without a prior a model for each half, else one for all."""
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("known", "ascending"), ("doc_id", "ascending")])
+        half, known, x = rows.column("half").to_numpy(), rows.column("known").to_numpy(), rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(float)
+        parts = {h: (x[(known == 1) & (half == h)], x[(known == 0) & (half == h)]) for h in (0, 1)} if prior is None else {0: (x[known == 1], x[known == 0])}
+        made = [] if any(len(y) < 2 for part in parts.values() for y in part) else [(h, _fit(*part, prior)) for h, part in parts.items()]
+        return pa.table([[h for h, _ in made], *([list(map(float, getattr(m, c))) for _, m in made] for c in ("mean", "scale", "weight")), [float(m.bias) for _, m in made]], schema=_MODEL)
+
+    return rows.groupBy().applyInArrow(fit, "half int, mean array<double>, scale array<double>, weight array<double>, bias double").collect()
+
+
+def class_prior(docs: DataFrame, positive: DataFrame, models: dict[int, Linear]) -> float:
+    """docs: doc_id, half, text, all ranked by the model of the other half; positive: distinct doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                some = batch.slice(lo, 1000)
+                x, half = features(some.column("text")), some.column("half").to_numpy()
+                bin_ = np.where(half == 0, bins(shared.value[1].margin(x)), bins(shared.value[0].margin(x)))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("half"), pa.array(bin_, pa.int32())], names=["doc_id", "half", "bin"])
+
+    ranked = docs.mapInArrow(run, "doc_id long, half int, bin int").join(positive.withColumn("known", F.lit(1)), "doc_id", "left")
+    found = ranked.groupBy("half", "bin").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("p")).collect()  # at most 2 BINS rows
+    counts = np.zeros((2, 2, BINS))
+    for r in found:
+        counts[r.half, :, r.bin] = r.p, r.n
+    return float(np.mean([best_bin(*counts[h]) for h in (0, 1)]))
+
+
 def learn(docs: DataFrame, positive: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[Linear | None, float]:
-    """docs: unlabelled text; positive: the ids of trusted positives among them."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    trusted = docs.select("doc_id").join(positive.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """The model and the class prior. docs: unlabelled text; positive: the ids of trusted positives among them."""
+    half = F.pmod(F.xxhash64(F.lit("half"), F.col(id_col).cast("long")), F.lit(2)).cast("int")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), half.alias("half"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    positive = positive.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    trusted = docs.select("doc_id").join(positive, "doc_id", "left_semi")
     samples = smallest(trusted, "doc_id", positives).select("doc_id", F.lit(1).alias("known")).union(smallest(docs.select("doc_id"), "doc_id", unlabelled).select("doc_id", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("known"), pa.array(list(features(some.column("text")).astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "known", "x"])
-
-    def fit(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("known", "ascending"), ("doc_id", "ascending")])
-        known, x = rows.column("known").to_numpy(), rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-        p, u = x[known == 1].astype(float), x[known == 0].astype(float)
-        made = [] if len(p) < 4 or len(u) < 4 else [(prior := class_prior(p, u), _fit(p, u, prior))]
-        return pa.table([[q for q, _ in made], *([list(map(float, getattr(m, c))) for _, m in made] for c in ("mean", "scale", "weight")), [float(m.bias) for _, m in made]], schema=pa.schema([("prior", pa.float64()), *((c, pa.list_(pa.float64())) for c in ("mean", "scale", "weight")), ("bias", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([*map(some.column, ("doc_id", "half", "known")), pa.array(list(features(some.column("text")).astype(np.float32)), pa.list_(pa.float32()))], names=["doc_id", "half", "known", "x"])
 
     # the samples are bounded by their parameters
-    rows = docs.join(F.broadcast(samples), "doc_id").select("doc_id", "known", "text").mapInArrow(run, "doc_id long, known int, x array<float>")
-    found = rows.groupBy().applyInArrow(fit, "prior double, mean array<double>, scale array<double>, weight array<double>, bias double").first()
-    if not found:
-        return None, 0.5
-    model = Linear(np.array(found.mean), np.array(found.scale))
-    model.weight, model.bias = np.array(found.weight), found.bias
-    return model, found.prior
+    rows = stored(docs.join(F.broadcast(samples), "doc_id").select("doc_id", "half", "known", "text").mapInArrow(run, "doc_id long, half int, known int, x array<float>"), "samples")
+    models, prior = {r.half: _model(r) for r in _fitted(rows, None)}, 0.5
+    if models:
+        prior = class_prior(docs, positive, models)
+        models = {r.half: _model(r) for r in _fitted(rows, prior)}
+    discard(rows)
+    return models.get(0), prior
 
 
 def score(docs: DataFrame, model: Linear | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -517,11 +517,44 @@ def test_prior():
     rng = np.random.default_rng(3)
     positive, negative = rng.normal(2, 1, (4000, 3)), rng.normal(-2, 1, (1000, 3))
     unlabelled = np.concatenate([rng.normal(2, 1, (3000, 3)), negative])
-    assert abs(quality_classifier.class_prior(positive, unlabelled) - 0.75) < 0.06
+    first = quality_classifier._fit(positive[::2], unlabelled[::2], None)
+    p, u = (np.bincount(quality_classifier.bins(first.margin(x[1::2])), minlength=quality_classifier.BINS) for x in (positive, unlabelled))
+    assert abs(quality_classifier.best_bin(p, u) - 0.75) < 0.06
+    slack = math.sqrt(math.log(40) / (2 * p.sum())) + math.sqrt(math.log(40) / (2 * u.sum()))
+    least = min(((sum(u[k:]) / u.sum() + slack) / (sum(p[k:]) / p.sum()), k) for k in range(len(p)) if p[k:].any())[1]
+    assert quality_classifier.best_bin(p, u) == pytest.approx(u[least:].sum() / u.sum() / (p[least:].sum() / p.sum()))
     model = quality_classifier._fit(positive, unlabelled, 0.75)
     assert (model.score(negative) < 0.5).mean() > 0.95 and (model.score(positive) > 0.5).mean() > 0.95
 
 
+def test_risk_gradient():
+    """Against differences of the risk written out plainly, on both sides of zero."""
+    rng = np.random.default_rng(5)
+    p, u, seen = rng.normal(1, 1, (40, 4)), rng.normal(-0.5, 1, (60, 4)), set()
+
+    def parts(w, prior):
+        r = lambda x, y: sum(math.log(1 + math.exp(-y * float(row @ w))) for row in x) / len(x)
+        return prior * r(p, 1), r(u, -1) - prior * r(p, -1)
+
+    for shift in (-1, 0, 1, 3):
+        w, prior = rng.normal(0, 0.3, 4) + shift, 0.9
+        below = parts(w, prior)[1] < 0
+        seen.add(below)
+        value = lambda w: -parts(w, prior)[1] if below else sum(parts(w, prior))  # noqa: B023, E731
+        near = [(value(w + h) - value(w - h)) / 2e-5 for h in np.eye(4) * 1e-5]
+        assert np.allclose(quality_classifier.risk_gradient(w, p, u, prior), near, atol=1e-6)
+    assert seen == {True, False}
+
+
+def test_prior_of_all_text(spark, docs):
+    """Close to the share of label 1 at the production bounds, and with samples of a tenth of the rows: ranks cover every document."""
+    labels = pd.read_parquet(f"{SF}/labels.parquet")
+    rows, good = spark.createDataFrame(docs[["doc_id", "text"]]), spark.createDataFrame(labels[labels.quality == 1][["doc_id"]])
+    for bounds, apart in (({}, 0.03), ({"positives": 100, "unlabelled": 200}, 0.08)):
+        _, prior = quality_classifier.learn(rows, good, **bounds)
+        assert abs(prior - labels.quality.mean()) < apart
+
+
 def test_quality_classifier_odd(odd, none):
     model, prior = quality_classifier.learn(odd, odd.where("doc_id = 1"))
     assert model is None and prior == 0.5
