@@ -99,9 +99,11 @@ class Linear:
 def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float | None) -> np.ndarray:
     """Of the non-negative risk with the logistic loss: where its second part is below zero, the step that raises this part
     again. Without a prior, of plain positive against unlabelled."""
+    w = w.astype(p.dtype)
     zp, zu = p @ w, u @ w
-    up = p.T @ (_sigmoid(zp) - 1) / len(p)  # gradient of R+ on positives
-    down_p, down_u = p.T @ _sigmoid(zp) / len(p), u.T @ _sigmoid(zu) / len(u)  # of R-
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    up = p.T @ (sp - 1) / len(p)  # gradient of R+ on positives
+    down_p, down_u = p.T @ sp / len(p), u.T @ su / len(u)  # of R-
     if prior is None:
         return up + down_u
     negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -116,7 +118,7 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, roun
     """Full-batch Adam."""
     both = np.concatenate([positive, unlabelled])
     model = Linear(both.mean(0), both.std(0) + 1e-6)
-    p, u = (np.column_stack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones(len(x))]) for x in (positive, unlabelled))
+    p, u = (np.column_stack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones(len(x))]).astype(np.float32) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1]), 0.0, 0.0
     decay = np.full(p.shape[1], DECAY)
     if p.shape[1] == WIDTH + 1:
@@ -157,12 +159,12 @@ def _fitted(rows: DataFrame, prior: float | None) -> list:
 
     def fit(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("known", "ascending"), ("doc_id", "ascending")])
-        half, known, x = rows.column("half").to_numpy(), rows.column("known").to_numpy(), rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(float)
-        parts = {h: (x[(known == 1) & (half == h)], x[(known == 0) & (half == h)]) for h in (0, 1)} if prior is None else {0: (x[known == 1], x[known == 0])}
-        made = [] if any(len(y) < 2 for part in parts.values() for y in part) else [(h, _fit(*part, prior)) for h, part in parts.items()]
-        return pa.table([[h for h, _ in made], *([list(map(float, getattr(m, c))) for _, m in made] for c in ("mean", "scale", "weight")), [float(m.bias) for _, m in made]], schema=_MODEL)
+        half, known, x = rows.column("half")[0].as_py(), rows.column("known").to_numpy(), rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(float)
+        p, u = x[known == 1], x[known == 0]
+        made = [] if len(p) < 2 or len(u) < 2 else [_fit(p, u, prior)]
+        return pa.table([[half] * len(made), *([list(map(float, getattr(m, c))) for m in made] for c in ("mean", "scale", "weight")), [float(m.bias) for m in made]], schema=_MODEL)
 
-    return rows.groupBy().applyInArrow(fit, "half int, mean array<double>, scale array<double>, weight array<double>, bias double").collect()
+    return rows.groupBy(*(["half"] if prior is None else [])).applyInArrow(fit, "half int, mean array<double>, scale array<double>, weight array<double>, bias double").collect()
 
 
 def class_prior(docs: DataFrame, positive: DataFrame, models: dict[int, Linear]) -> float:
@@ -201,12 +203,12 @@ def learn(docs: DataFrame, positive: DataFrame, id_col: str = "doc_id", text_col
 
     # the samples are bounded by their parameters
     rows = stored(docs.join(F.broadcast(samples), "doc_id").select("doc_id", "half", "known", "text").mapInArrow(run, "doc_id long, half int, known int, x array<float>"), "samples")
-    models, prior = {r.half: _model(r) for r in _fitted(rows, None)}, 0.5
-    if models:
+    models, model, prior = {r.half: _model(r) for r in _fitted(rows, None)}, None, 0.5
+    if len(models) == 2:
         prior = class_prior(docs, positive, models)
-        models = {r.half: _model(r) for r in _fitted(rows, prior)}
+        model = _model(_fitted(rows, prior)[0])
     discard(rows)
-    return models.get(0), prior
+    return model, prior
 
 
 def score(docs: DataFrame, model: Linear | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
