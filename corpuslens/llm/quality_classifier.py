@@ -19,10 +19,8 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +41,23 @@ DECAY, WORD_DECAY = 1e-4, 1e-2
 _DENSE = 14
 WIDTH = 2 * _DENSE + SHAPES + WORDS
 
-_SYMBOL = re.compile(r"[#*$%&|<>]")
-_RUNS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"))
+#: A word's shape: runs of digits, of capitals and of other letters as one character each.
+_SHAPE = ((r"\p{Nd}+", "9"), (r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+", "a"))
 
 
-def _word(word: str) -> tuple[float, ...]:
-    """Of one distinct word: length, flags, and the buckets of its shape (runs of letters and digits collapsed) and of itself."""
-    shape = _RUNS[1].sub("9", _RUNS[0].sub(lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa", word))
-    return len(word), bool(_SYMBOL.search(word)), word.endswith("!!"), len(word) > 1 and word.isupper(), any(c.isdigit() for c in word), word[-1:] in ".!?", not any(c.isalnum() for c in word), zlib.crc32(shape.encode()) % SHAPES, zlib.crc32(word.lower().encode()) % WORDS
-
-
-#: Words that a task meets again and again; longer ones are not held.
-_met = lru_cache(50_000)(_word)
-_HELD = 32
+def _of_words(words: pa.Array) -> np.ndarray:
+    """Of distinct words: length, flags, and the buckets of their shapes and of themselves."""
+    words = words.cast(pa.large_string())
+    length = pc.utf8_length(words).to_numpy()
+    has = lambda pattern: pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+    shape = words
+    for pattern, by in _SHAPE:
+        shape = pc.replace_substring_regex(shape, pattern, by)
+    shape = shape.dictionary_encode()
+    buckets = np.array([zlib.crc32(x.encode()) % SHAPES for x in shape.dictionary.to_pylist()], int)[shape.indices.to_numpy()]
+    own = [zlib.crc32(x) % WORDS for x in pc.utf8_lower(words).cast(pa.large_binary()).to_pylist()]
+    shouted = pc.utf8_is_upper(words).to_numpy(zero_copy_only=False) & (length > 1)
+    return np.column_stack([length, has(r"[#*$%&|<>]"), pc.ends_with(words, "!!").to_numpy(zero_copy_only=False), shouted, has(r"\p{Nd}"), has(r"[.!?]$"), ~has(r"[\p{L}\p{N}]"), buckets, np.array(own, int)]).astype(float)
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -63,8 +65,8 @@ def features(texts: pa.Array) -> np.ndarray:
     texts = pc.fill_null(texts, "")
     split = pc.ascii_split_whitespace(texts)
     words = split.flatten().dictionary_encode()
-    n, distinct = len(texts), words.dictionary.to_pylist()
-    of = np.array([_met(w) if len(w) <= _HELD else _word(w) for w in distinct], float).reshape(-1, 9)
+    n, distinct = len(texts), words.dictionary
+    of = _of_words(distinct)
     code = words.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))
     full = of[code, 0] > 0  # no word comes from the ends of a text
