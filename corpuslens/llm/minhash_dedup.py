@@ -7,10 +7,13 @@
    Values that only one set retains fill those places and are dropped, so frequent passages hardly make lists.
 3. Every set that shares a list with another is first compared with one hub, the first set of the lists that it shares most
    (hubs with many sets in blocks), by exact Jaccard similarity. That unites groups of copies with one comparison a set.
-4. Lists whose sets are united by then are done. The sets of the other lists form candidate groups (components over the
-   united classes). A group is cut into blocks, a large class into blocks of its own, and blocks that are not of one class are
-   compared in pairs, each pair in one task: overlaps of sketches, the union-sketch estimate as a filter, and the exact
-   Jaccard similarity of the full sets. Tasks return only links that join something new, so no pair table is ever made.
+4. Lists whose sets are united by then are done. In each other list the sets are compared by signatures of their sketches,
+   SIGNATURE bits of which at least one stands for every retained value: bits that only one of two sets has come from values
+   that the other lacks, of which a link allows a few, so a link always passes. What passes forms candidate groups (components
+   over the united classes); lists alone would join most of a large table into one group by chance. A group is cut into
+   blocks, a large class into blocks of its own, and blocks that are not of one class are compared in pairs, each pair in one
+   task: overlaps of sketches, the union-sketch estimate as a filter, and the exact Jaccard similarity of the full sets. Tasks
+   return only pairs and links that join something new, so no pair table is ever made.
 
 For sets whose partners have at most K shingles the prefix is exact. For others the least overlap is the binomial quantile at
 MISS / 2 of K values that are common with the probability of the threshold, the least there is (one text within the other), and
@@ -44,6 +47,8 @@ K = 64
 MISS = 1e-8
 #: Documents in a block, and shingles in one; a task compares two blocks.
 BLOCK, SHINGLES = 256, 1 << 18
+#: Bits of a signature, sets in a block of a list, and rows of lists that a task compares at once.
+SIGNATURE, LIST, ROWS = 512, 512, 4096
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -87,11 +92,18 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _full(width: int):
+def signature(sketch: np.ndarray) -> bytes:
+    bits = np.zeros(SIGNATURE, np.uint8)
+    bits[sketch % np.uint64(SIGNATURE)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _full(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            sets = [s.tobytes() for s in shingle_sets(_texts(batch.column("text")), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(sets, pa.binary())], names=["node", "n", "set"])
+            sets = shingle_sets(_texts(batch.column("text")), width)
+            signed = pa.array([signature(s[:k]) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), signed, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "signature", "set"])
 
     return run
 
@@ -116,6 +128,35 @@ def least_overlap(n: Column, threshold: float, k: int) -> Column:
     return F.when(n <= int(threshold * k), sure).otherwise(F.least(sure, F.lit(surely(k, threshold, MISS / 2))))
 
 
+def _candidates(threshold: int, k: int):
+    """Pairs of sets of one list, or of two blocks of it, that may link, are not united and join something new."""
+    sure = surely(k, threshold / 100, MISS / 2)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("value", "ascending"), ("p", "ascending"), ("q", "ascending")])
+        value, p, q, side, node, known, n = (rows.column(c).to_numpy() for c in ("value", "p", "q", "side", "node", "class", "n"))
+        bits = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint64).reshape(len(node), -1)
+        need = -(-threshold * n // 100)
+        need = np.where(n <= threshold * k // 100, need, np.minimum(need, sure))
+        size = np.minimum(n, k)
+        starts = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+        end = np.repeat(np.append(starts[1:], len(node)), np.diff(np.append(starts, len(node))))
+        lone = lambda x, y: np.bitwise_count(bits[x] & ~bits[y]).sum(1, dtype=np.int64)
+        distinct, at = np.unique(node, return_inverse=True)
+        group, out, left, apart = Union(len(distinct)), [], np.arange(len(node)), 0
+        while len(left := left[left + (apart := apart + 1) < end[left]]):
+            a, b = left, left + apart
+            maybe = (known[a] != known[b]) & ((p[a] == q[a]) | (side[a] != side[b])) & (100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]))
+            a, b = a[maybe], b[maybe]
+            most = np.maximum(need[a], need[b])
+            maybe = (lone(a, b) <= size[a] - most) & (lone(b, a) <= size[b] - most)
+            out += [(x, y) for x, y in zip(a[maybe].tolist(), b[maybe].tolist(), strict=True) if group.join(at[x], at[y])]
+        a, b = (np.array([o[i] for o in out], np.int64) for i in (0, 1))
+        return pa.table([node[a], known[a], node[b], known[b]], names=["a", "a_class", "b", "b_class"])
+
+    return compare
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -206,21 +247,30 @@ def hub_links(lists: DataFrame, full: DataFrame, threshold: int, block: int) ->
     blocks = chosen.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = chosen.join(blocks, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     dealt = dealt.union(blocks.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
-    links = stored(full.join(dealt, "node").groupBy("hub", "block").applyInArrow(_to_hub(threshold), "a long, b long"), "links")
+    links = stored(full.select("node", "set").join(dealt, "node").groupBy("hub", "block").applyInArrow(_to_hub(threshold), "a long, b long"), "links")
     discard(chosen)
     return links
 
 
 def remaining_links(lists: DataFrame, full: DataFrame, united: DataFrame, threshold: int, k: int, block: int) -> DataFrame | None:
-    """Links between sets that share a list and are not united yet; None if there are no such lists."""
+    """Links between sets that share a list and are not united yet; None if no such sets may link."""
     placed = lists.join(united.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     mixed = placed.groupBy("value").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("value", "least")
-    rest = stored(placed.join(mixed, "value").select("node", "class", "least").distinct(), "rest")
-    if rest.isEmpty():
-        discard(rest)
+    rest = stored(placed.join(mixed, "value").select("value", "node", "class"), "rest")
+    cut = rest.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks"))
+    own, other = F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sides = rest.join(cut, "value").select("value", "node", "class", own, "blocks").select("value", "node", "class", "own", other)
+    sides = sides.select("value", "node", "class", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    batch = F.pmod(F.xxhash64("value", "p", "q"), F.lit(math.ceil(rest.count() / ROWS) or 1)).alias("batch")
+    alike = sides.join(full.select("node", "n", "signature"), "node").groupBy(batch).applyInArrow(_candidates(threshold, k), "a long, a_class long, b long, b_class long")
+    pairs = stored(alike, "candidates")
+    discard(rest)
+    if pairs.isEmpty():
+        discard(pairs)
         return None
-    groups = components(rest.select(F.col("class").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("class"), F.col("component").alias("group"))
-    members = stored(rest.select("node", "class").distinct().join(groups, "class").join(full.select("node", "n"), "node"), "members")
+    groups = components(pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    found = pairs.select(F.col("a").alias("node"), F.col("a_class").alias("class")).union(pairs.select("b", "b_class")).distinct()
+    members = stored(found.join(groups, "class").join(full.select("node", "n"), "node"), "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / SHINGLES)).cast("int").alias("blocks")
     own = members.groupBy("group", "class").agg(blocks)
     # large classes have blocks of their own, all others of a group share the blocks of class -1
@@ -228,14 +278,14 @@ def remaining_links(lists: DataFrame, full: DataFrame, united: DataFrame, thresh
     pooled = members.join(large.select("class"), "class", "left_anti").groupBy("group").agg(blocks).select("group", F.lit(-1).cast("long").alias("c"), "blocks")
     of = pooled.union(large.select("group", F.col("class").alias("c"), "blocks"))
     every = of.select("group", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("group", F.struct("c", "i").alias("p"))
-    pairs = every.join(every.select("group", F.col("p").alias("q")), "group").where((F.col("p") <= F.col("q")) & ((F.col("p.c") != F.col("q.c")) | (F.col("p.c") == -1)))
-    side = lambda k, at: pairs.select("group", "p", "q", F.lit(k).alias("side"), F.col(f"{at}.c").alias("c"), F.col(f"{at}.i").alias("i"))
+    both = every.join(every.select("group", F.col("p").alias("q")), "group").where((F.col("p") <= F.col("q")) & ((F.col("p.c") != F.col("q.c")) | (F.col("p.c") == -1)))
+    side = lambda k, at: both.select("group", "p", "q", F.lit(k).alias("side"), F.col(f"{at}.c").alias("c"), F.col(f"{at}.i").alias("i"))
     sides = side(0, "p").union(side(1, "q").where("p <> q"))
     dealt = members.join(large.select("class", F.col("blocks").alias("own")), "class", "left").join(pooled.select("group", F.col("blocks").alias("shared")), "group", "left")
     c, i = F.when(F.col("own").isNull(), -1).otherwise(F.col("class")).cast("long"), F.when(F.col("own").isNull(), F.pmod(F.xxhash64("class"), "shared")).otherwise(F.pmod(F.xxhash64("node"), "own")).cast("int")
     dealt = dealt.select("node", "class", "group", c.alias("c"), i.alias("i")).join(sides, ["group", "c", "i"]).select("node", "class", "group", "p", "q", "side")
-    links = stored(full.join(dealt, "node").groupBy("group", "p", "q").applyInArrow(_pairs(threshold, k), "a long, b long"), "links")
-    discard(rest, members)
+    links = stored(full.select("node", "n", "set").join(dealt, "node").groupBy("group", "p", "q").applyInArrow(_pairs(threshold, k), "a long, b long"), "links")
+    discard(pairs, members)
     return links
 
 
@@ -249,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     lists = retained_lists(sets, threshold, k)
     wanted = lists.select("node").distinct().join(sets.select("node", "n", "head.doc_id", "head.tag"), "node")
-    full = stored(docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "n", "text").mapInArrow(_full(width), "node long, n long, set binary"), "full")
+    full = stored(docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).dropDuplicates(["node"]).select("node", "n", "text").mapInArrow(_full(width, k), "node long, n long, signature binary, set binary"), "full")
     links = hub_links(lists, full, threshold, block)
     found = components(links)
     more = remaining_links(lists, full, found, threshold, k, block)

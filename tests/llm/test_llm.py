@@ -486,6 +486,31 @@ def test_minhash_chains(spark):
         assert [got[i] for i, _ in rows] == [labels.index(c) for c in labels]
 
 
+def test_minhash_chance_groups(spark, monkeypatch):
+    """Texts that share single passages hang together by chance: few are sent to a comparison of full sets."""
+    sent, stored = [], minhash_dedup.stored
+
+    def spy(df, name):
+        out = stored(df, name)
+        sent.extend(r.node for r in out.select("node").collect()) if name == "members" else None
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "stored", spy)
+    passage = lambda i: [f"p{i % 300}w{k}" for k in range(40)]
+    rows = [(i, " ".join(w for at in (0, 1, 4, 6) for w in passage(i + at))) for i in range(300)]  # no two share two passages
+    run = lambda rows: {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, threshold=85).collect()}
+    assert run(rows) == {i: i for i in range(300)} and len(sent) < 30
+    rows += [(1000 + i, text.replace("w7 ", "y ", 1)) for i, text in rows[::50]]
+    assert run(rows) == {i: i % 1000 for i, _ in rows} and len(sent) < 60
+
+
+def test_minhash_long_lists(spark, monkeypatch):
+    """Lists cut into blocks, many of them to a task: components as by brute force."""
+    monkeypatch.setattr(minhash_dedup, "LIST", 3)
+    monkeypatch.setattr(minhash_dedup, "ROWS", 64)
+    test_minhash_chains(spark)
+
+
 def test_minhash_repeated_ids(spark):
     """Rows that share an id and differ in text are documents of their own: the unique one is first of its component."""
     other = "Nobody had ever seen this text before the day when it was found behind the old mill, under a heap of stones."
