@@ -32,9 +32,11 @@ from ._io import stored, table
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps, in each of two generations.
-CACHE = 300_000
-#: Bytes of text tokenized at once.
-CHUNK = 8_000_000
+CACHE = 200_000
+#: Bytes of text tokenized at once: with CACHE, what a worker takes beside the tokenizer and the batch.
+CHUNK = 4_000_000
+#: Words in one call of the tokenizer, whose results take many times what is kept of them.
+BATCH = 5_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -87,8 +89,10 @@ class Words:
             if mark not in marks:
                 marks[mark] = self._ids(self.whole.encode(mark, add_special_tokens=False).ids)
             self.new[word] = cores[text] + marks[mark]
-        for word, coded in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.new[word] = self._ids(coded.ids)
+        for lo in range(0, len(rest), BATCH):
+            some = rest[lo : lo + BATCH]
+            for word, coded in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.new[word] = self._ids(coded.ids)
 
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin (and the last end)."""

@@ -1,7 +1,10 @@
 """Each operator against brute force or exact round trips, and on nulls, blanks, long texts, repeats, empty tables and clashing columns."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -95,6 +98,26 @@ def test_plan(n):
     assert used == histogram and bound <= sum(c for _, c in planned) <= bound * 1.01 + 1
 
 
+_WORDS = """
+import random, sys
+import pyarrow as pa
+from corpuslens.llm import packing
+rng, words = random.Random(1), packing._words(sys.argv[1])
+batch = pa.record_batch([pa.array(range(500)), pa.array([" ".join("%x" % rng.getrandbits(24) for _ in range(3000)) for _ in range(500)])], names=["doc_id", "text"])
+for part in packing._chunks(batch, 1):
+    words.coded(part.column(1))
+print(next(x for x in open("/proc/self/status") if x.startswith("VmHWM")).split()[1])
+"""
+
+
+def test_packing_memory():
+    """A worker on 10 MB of words that hardly repeat: peak memory, in a process of its own."""
+    if not os.path.exists("/proc/self/status"):
+        pytest.skip("no /proc")
+    run = subprocess.run([sys.executable, "-c", _WORDS, str(VOCABULARY("word_bpe_49k.json"))], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.path.dirname(corpus_pipeline.__file__)})
+    assert int(run.stdout) / 1024 < 700
+
+
 # ---- 2 and 10: SQL
 
 
