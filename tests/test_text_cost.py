@@ -27,3 +27,27 @@ def test_words_of_odd_texts(spark, text, n):
     by_gaps = F.when(trimmed == "", 0).otherwise(F.regexp_count(trimmed, F.lit(r"\s+")) + 1)
     row = df.select(T.n_words(F.col("t")).alias("n"), by_gaps.alias("gaps"), T.per_thousand(F.lit(3), T.n_words(F.col("t"))).alias("rate")).first()
     assert (row.n, row.gaps, row.rate) == (n, n, 3 / n * 1000 if n else 0.0)
+
+
+def test_what_a_pattern_needs():
+    found = {
+        "delve into": ["delve into"], "(?:first|firstly),? .{10,80}(?:third|thirdly)": ["first"], "(?:x|y) (?:some|many) (?:problems|issues)": ["problems", "issues"],
+        "(?:there (?:never|always)|it) is": [" is"], "(?:problems|issues)? of": [" of"], "one|(?:problems|issues)": [], r"[(](?:problems|issues)\(a": ["problems", "issues"], "(?!(?:problems|issues))of": ["of"], "[ab]": [],
+    }
+    assert {p: T.needed(p) for p in found} == found
+
+
+def test_patterns_count_as_without_a_search(spark):
+    texts = [None, "", "however, it still some issues", "nevertheless there are still many problems. However it remains several limitations", "HOWEVER", "first, 0123456789abcde second, 0123456789abcde thirdly", "compared with other methods, in comparison with existing approaches", "has become popular; has emerged as an important", "offering a novel method and provides a new strategy", "the findings reveal that the results show that"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    low = T.lowered(F.col("t"))
+    plain = sum((F.regexp_count(low, F.lit(p)) for p in text_queries.PATTERNS), F.lit(0))
+    rows = df.select(T.count_patterns(F.col("t"), text_queries.PATTERNS).alias("n"), plain.alias("plain")).collect()
+    assert [r.n for r in rows] == [r.plain for r in rows] == [0, 0, 1, 2, 0, 1, 2, 2, 2, 2]
+
+
+def test_phrases_keep_their_edges(spark):
+    text = "Of the of the, xof the of thex 1of the é of thé OF THE"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    made = T.phrase_signals(F.col("t"), ["of the", "the, "])
+    assert [tuple(r) for r in df.select(made["tortured_count"], made["tortured_unique"]).collect()] == [(3, 3), (0, 0), (0, 0)]
